@@ -12,8 +12,11 @@ from quillmill.llm import stages
 from quillmill.llm.common import materialise, read_table
 
 STAGES = [
+    ("language_id", stages.identify_language),
+    ("quality", stages.classify_quality),
     ("near_dedup", stages.near_dedup),
     ("mix_sources", stages.mix_sources),
+    ("pack", stages.pack),
 ]
 
 #: The classifiers are trained models, which SQL can't express.

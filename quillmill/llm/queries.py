@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import mixing, rule_ledger, sharding, simhash
-from quillmill.llm.common import count_words, read_table
+from quillmill.llm import ann, language_id, lm, mixing, packing, quality, rule_ledger, sharding, simhash, token_files
+from quillmill.llm.common import count_words, held_out, new_path, read_table
 
 SHARD_BYTES = 16 << 20
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = held_out(F.col("doc_id"), 7, 2)
+    model, vocabulary = lm.fit(docs, ~held)
+    return lm.score(docs, held, model, vocabulary)
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     led = rule_ledger.apply_policy(rule_ledger.ledger(docs), rule_ledger.STANDARD)
@@ -21,6 +32,35 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_path(spark, "token-orc")
+    token_files.write(docs, path, "word_bpe_49k.json", end_id=1, spaced=False)
+    return token_files.digest(spark, path)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, "byte_bpe_50k.json", end_id=0, spaced=True))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = held_out(F.col("doc_id"), 4, 2)
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs.where(~held), labels.where(~held))
+    return quality.predict(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = held_out(F.col("doc_id"), 5, 0)
+    model = language_id.fit(docs.where(~held))
+    return language_id.predict(docs.select("doc_id", "text", held.alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
     return mixing.mix(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -41,8 +81,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm": op1_lm,
+    "op2_ann": op2_ann,
     "op3_rule_ledger": op3_rule_ledger,
+    "op4_token_files": op4_token_files,
+    "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
+    "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
 }

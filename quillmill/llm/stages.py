@@ -3,8 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmill.llm import mixing, simhash
+from quillmill.llm import language_id, mixing, packing, quality, simhash
+from quillmill.llm.common import held_out, read_table
+
+#: Below this probability a language is not taken as identified.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter and texts of no sure language go."""
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"), 5, 0)))
+    judged = _judged(docs, lambda d: language_id.predict(d, model, carry_text=True))
+    sure = (F.col("_j.lang_pred") != language_id.UND) & (F.col("_j.score") >= LEAST_LANGUAGE_SCORE)
+    return judged.where(sure).select(*docs.columns)
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts whose quality score is under the threshold go."""
+    train = ~held_out(F.col("doc_id"), 4, 2)
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs.where(train), labels.where(train))
+    judged = _judged(docs, lambda d: quality.predict(d, model, carry_text=True))
+    return judged.where(F.col("_j.predicted") == 1).select(*docs.columns)
+
+
+def _judged(docs: DataFrame, predict) -> DataFrame:
+    """The columns of docs beside a struct _j of what a classifier adds, whatever the names."""
+    inner = docs.select(F.struct(*docs.columns).alias("_d"), "text")
+    out = predict(inner)
+    added = [c for c in out.columns if c not in ("_d", "text")]
+    return out.select("_d.*", F.struct(*added).alias("_j"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,3 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as systematic sampling takes it."""
     return mixing.emit(mixing.mix(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: one row per piece."""
+    return packing.pack(packing.pieces(docs, "byte_bpe_50k.json", end_id=0, spaced=True))
