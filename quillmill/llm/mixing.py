@@ -1,10 +1,12 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source expects ``target / size of the source`` copies. The
-documents of a source are laid end to end in order of size (then of a hash),
-their expected copies are prefix-summed, one random offset in [0, 1) is added,
-and a document is emitted once per integer boundary that its stretch crosses.
-Ordering by size keeps the words taken within about one document of the target.
+documents of a source are laid end to end by size (then by a hash), every other
+one on the way up and the rest on the way down, their expected copies are
+prefix-summed, one random offset in [0, 1) is added, and a document is emitted
+once per integer boundary that its stretch crosses. In this order the rounding
+of one document is made up for by the next of nearly the same size, and both
+ends are small documents, so the words taken stay near the target.
 
 The prefix sum never puts a source into one task. Ranks come from counts: of
 smaller sizes in the source, then of smaller hash cells of the same size, then
@@ -80,11 +82,11 @@ def mix(
     """
     spark = docs.sparkSession
     sized = docs.withColumn("size", count_words(F.col("text")) if size is None else size)
-    totals = [(r["s"], r["n"]) for r in sized.groupBy(F.col(source).alias("s")).agg(F.sum("size").alias("n")).collect()]
-    goal = targets(totals, weights, share, most)
-    rows = [(s, n, goal[s], goal[s] / n if n else 0.0, offset(s, seed)) for s, n in totals]
+    grouped = sized.groupBy(F.col(source).alias("s")).agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect()
+    goal = targets([(r["s"], r["n"]) for r in grouped], weights, share, most)
+    rows = [(s, n, goal[s], goal[s] / n if n else 0.0, offset(s, seed), k) for s, n, k in grouped]
     plan = spark.createDataFrame(
-        rows, "_s string, source_size long, target double, _rate double, _offset double"
+        rows, "_s string, source_size long, target double, _rate double, _offset double, _docs long"
     )
     tie = F.xxhash64(*[F.col(c) for c in (ties or ["doc_id"])])
     cell = sized.withColumns({"_tie": tie, "_src": F.col(source)}).withColumn("_cell", F.pmod("_tie", F.lit(CELLS)))
@@ -103,8 +105,10 @@ def mix(
         start, F.col("_src").eqNullSafe(F.col("_a")) & (F.col("size") == F.col("_b")) & (F.col("_cell") == F.col("_c"))
     )
     out = ranked.join(F.broadcast(plan), F.col("_src").eqNullSafe(F.col("_s")))
-    end = F.floor((F.col("_start") + F.col("_k")) * F.col("_rate") + F.col("_offset"))
-    begin = F.floor((F.col("_start") + F.col("_k") - 1) * F.col("_rate") + F.col("_offset"))
+    rank = F.col("_start") + F.col("_k")
+    place = F.when(rank % 2 == 1, F.expr("(_start + _k + 1) div 2")).otherwise(F.col("_docs") + 1 - F.expr("(_start + _k) div 2"))
+    end = F.floor(place * F.col("_rate") + F.col("_offset"))
+    begin = F.floor((place - 1) * F.col("_rate") + F.col("_offset"))
     return (
         out.withColumn("copies", (end - begin).cast("int"))
         .withColumn("taken", F.col("copies") * F.col("size"))
