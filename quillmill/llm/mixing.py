@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 
 from quillmill.llm.common import count_words
 
-CELLS = 1 << 16
+CELLS = 512
 #: Source weights by place in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
