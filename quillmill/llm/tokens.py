@@ -8,11 +8,15 @@ ids are kept; texts in which such a cut isn't sure are encoded whole.
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 
 import numpy as np
 
-#: Pieces kept by a worker: about 200 bytes each.
-KEPT = 300_000
+#: Pieces kept by a worker: about 150 bytes each.
+KEPT = 1_200_000
+#: Whether an array of unsigned integers has the layout that ids are kept in.
+NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
 _ENCODERS: dict = {}
 
 
@@ -41,7 +45,10 @@ class PieceEncoder:
         self.rest: dict[bytes, bytes | None] = {} if spaced else self.first
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        if NATIVE:
+            return [array("I", e.ids).tobytes() for e in found]
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _learn(self, kept: dict[bytes, bytes | None], pieces: set[bytes], lead: str) -> None:
         new = sorted(pieces.difference(kept))
