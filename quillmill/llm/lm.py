@@ -9,8 +9,11 @@ them
     p1(w)   = (c(w) - D) / N            D V / N for a word never seen
     p(w|v)  = (c(v w) + M p1(w)) / (c(v) + M)
 
-with D from the counts of counts and M a fixed prior strength. A bigram is only
-probed if both its words are in the filter, which keeps false positives down.
+with D from the counts of counts. The prior strength M depends on the level of
+c(v); it is the one of ``PRIORS`` that makes up to ``SAMPLE`` training texts
+most probable when each of their bigrams is left out of the counts in turn. A
+bigram is only probed if both its words are in the filter, which keeps false
+positives down.
 
 Counting is distributed: partial counts of hashed n-grams are packed by segment
 (the leading hash bits), each segment is summed and made into its part of the
@@ -40,15 +43,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import LOWER, materialise, small_batches
+from quillmill.llm.common import LOWER, fraction_hash, materialise, small_batches
 
 HEAD = 1 << 17
 HEAD_WORD = 64
 MAX_BYTES = 128 << 20
 BITS = 8
-PROBES = 5
-BASE = 1.5
-PRIOR = 20.0
+PROBES = 4
+BASE = 2.0
+#: Prior strengths to choose from, and the bound on the training texts that choose.
+PRIORS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1e3, 3e3, 1e4, 1e5, 1e6)
+SAMPLE = 2000
 #: Words that a worker remembers.
 KEPT = 300_000
 #: N-grams that a worker sums before it passes them on.
@@ -107,12 +112,13 @@ class Filter:
     start: np.ndarray  # first bit of each segment
     bits: np.ndarray  # bits of each segment
     shift: int
+    top: int  # the highest level that any n-gram has
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 if it is not in the filter."""
         out = np.zeros(len(keys), np.int64)
         alive, lvl = np.arange(len(keys)), 0
-        while len(alive):
+        while len(alive) and lvl < self.top:
             lvl += 1
             k = keys[alive]
             seg = (k >> _U(self.shift)).astype(np.int64)
@@ -153,6 +159,7 @@ class Model:
     mean1: np.ndarray  # mean count of the words on each level
     mean2: np.ndarray  # the same for bigrams
     head: dict[bytes, int]
+    prior: np.ndarray  # prior strength by the level of the first word
 
     @property
     def unit(self) -> float:
@@ -332,21 +339,60 @@ def fit(docs: DataFrame, train: Column, text: str = "text", max_bytes: int = MAX
         # a level that no n-gram has, reached by a false positive, stands for its lowest count
         means.append(np.array([0.0] + [stats[o, i, 1] / stats[o, i, 0] if stats[o, i, 0] else BASE ** (i - 1) for i in range(1, most + 40)]))
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    return Model(Filter(np.concatenate(chunks), start, bits, shift), n, v, discount, means[0], means[1], counts), vocab
+    prior = np.full(len(means[0]), PRIORS[-1])
+    model = Model(Filter(np.concatenate(chunks), start, bits, shift, max([i for _, i, _ in stats], default=0)), n, v, discount, means[0], means[1], counts, prior)
+    _choose_priors(model, rows)
+    return model, vocab
+
+
+def _choose_priors(model: Model, rows: DataFrame) -> None:
+    """Sets each level's prior strength by leave-one-out likelihood on a sample of the training texts."""
+    spark, n = rows.sparkSession, rows.count()
+    shared = spark.sparkContext.broadcast(model)
+    size = len(model.prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, total = Scorer(shared.value), np.zeros((size, len(PRIORS)))
+        for b in batches:
+            seq = [END]
+            for t in b.column(0).to_pylist():
+                seq += tokens(t)
+                seq.append(END)
+            at = s.learn(seq)
+            c, lvl = s.c1[at], s.l1[at]
+            c2 = s.bigrams(at)
+            p1 = s.unigram(np.maximum(c[1:] - 1, 0))
+            c1, c2 = np.maximum(c[:-1] - 1, 0), np.maximum(c2 - 1, 0)
+            c2 = np.minimum(c2, c1)
+            for k, m in enumerate(PRIORS):
+                total[:, k] += np.bincount(lvl[:-1], weights=np.log10((c2 + m * p1) / (c1 + m)), minlength=size)[:size]
+        at = np.argwhere(total)
+        cols = [pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(total[at[:, 0], at[:, 1]])]
+        yield pa.RecordBatch.from_arrays(cols, names=["level", "k", "ll"])
+
+    some = rows.where(fraction_hash(F.lit("prior"), F.col("t")) < F.lit(SAMPLE / max(n, SAMPLE)))
+    sums = some.mapInArrow(run, "level long, k long, ll double").groupBy("level", "k").agg(F.sum("ll").alias("ll"))
+    table = np.zeros((size, len(PRIORS)))
+    for lvl, k, ll in sums.collect():  # a row for each level and prior
+        table[lvl, k] = ll
+    for lvl in range(1, size):
+        # a level without a sample takes what the level below it has
+        model.prior[lvl] = PRIORS[int(table[lvl].argmax())] if table[lvl].any() else model.prior[lvl - 1]
 
 
 class Scorer:
     """Scores texts with a model; remembers what it found out about words."""
 
-    def __init__(self, model: Model, prior: float = PRIOR) -> None:
-        self.m, self.prior = model, prior
+    def __init__(self, model: Model) -> None:
+        self.m = model
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.words: list[bytes] = []
         self.hash = np.zeros(0, np.uint64)
-        self.c1 = np.zeros(0)  # expected count, 0 if not in the filter
+        self.l1 = np.zeros(0, np.int64)  # level, 0 if not in the filter
+        self.c1 = np.zeros(0)  # expected count
         self.exact = np.zeros(0, np.int64)  # count of a head word, else -1
 
     def learn(self, seq: list[bytes]) -> np.ndarray:
@@ -360,25 +406,32 @@ class Scorer:
             lvl = self.m.filter.levels(unigram_key(h))
             get = self.m.head.get
             self.hash = np.concatenate([self.hash, h])
+            self.l1 = np.concatenate([self.l1, np.minimum(lvl, len(self.m.prior) - 1)])
             self.c1 = np.concatenate([self.c1, _mean(self.m.mean1, lvl)])
             self.exact = np.concatenate([self.exact, np.fromiter((get(w, -1) for w in new), np.int64, len(new))])
         return np.fromiter(map(self.known.__getitem__, seq), np.int64, len(seq))
 
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of words with these expected counts."""
+        m = self.m
+        return np.where(counts > 0, np.maximum(counts - m.discount, 0.05), m.discount * m.v) / m.n
+
+    def bigrams(self, at: np.ndarray) -> np.ndarray:
+        """Expected counts of a sequence's bigrams, no larger than those of their words."""
+        h, c = self.hash[at], self.c1[at]
+        both = np.flatnonzero((c[:-1] > 0) & (c[1:] > 0))
+        out = np.zeros(len(at) - 1)
+        lvl = self.m.filter.levels(bigram_key(h[:-1][both], h[1:][both]))
+        out[both] = np.minimum(_mean(self.m.mean2, lvl), np.minimum(c[:-1][both], c[1:][both]))
+        return out
+
     def log10(self, at: np.ndarray) -> np.ndarray:
         """log10 p of each place after the first of a sequence of word numbers."""
-        m = self.m
-        if not m.n:
+        if not self.m.n:
             return np.zeros(len(at) - 1)
-        h, c = self.hash[at], self.c1[at]
-        p1 = np.where(c > 0, np.maximum(c - m.discount, 1e-9), m.discount * m.v) / m.n
-        c1, w1 = c[:-1], c[1:]
-        both = np.flatnonzero((c1 > 0) & (w1 > 0))
-        c2 = np.zeros(len(c1))
-        if len(both):
-            keys = bigram_key(h[:-1][both], h[1:][both])
-            lvl = m.filter.levels(keys)
-            c2[both] = np.minimum(_mean(m.mean2, lvl), np.minimum(c1[both], w1[both]))
-        p = np.where(c1 > 0, (c2 + self.prior * p1[1:]) / (c1 + self.prior), p1[1:])
+        c, prior = self.c1[at], self.m.prior[self.l1[at[:-1]]]
+        p1 = self.unigram(c[1:])
+        p = np.where(c[:-1] > 0, (self.bigrams(at) + prior * p1) / (c[:-1] + prior), p1)
         return np.log10(np.minimum(p, 1.0))
 
 
