@@ -43,6 +43,8 @@ LEAVES = (256, 8192)
 LEAF_ROWS = 200
 #: Candidates of a query, as a share of the index, counted once per tree.
 SHARE = 1.1
+#: A query looks at this many vectors of each tree at least, or at all.
+LEAST = 1000
 SALTS = 32
 QUERY_BLOCK = 20_000
 INDEX_BLOCK = 100_000
@@ -213,6 +215,7 @@ def search(
         sizes[leaf] = m
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(n * trees / INDEX_BLOCK))
     group_of = np.random.default_rng(seed).integers(0, groups, len(sizes))
+    budget = max(share * n, float(LEAST * trees))
     n_queries = owners.select("cid").distinct().count()
     blocks = max(1, ceil(n_queries / QUERY_BLOCK))
     shared = spark.sparkContext.broadcast((sizes, group_of))
@@ -235,7 +238,7 @@ def search(
             out: list[tuple] = []
             for row, (cid, q) in enumerate(zip(b.column(0).to_pylist(), _matrix(b.column(1)), strict=True)):
                 by: dict[int, list[int]] = {}
-                for leaf in f.search(q, count, share * n):
+                for leaf in f.search(q, count, budget):
                     by.setdefault(int(group[leaf]), []).append(leaf)
                 out += [(g, cid % blocks, cid, row, ls) for g, ls in by.items()]
             if out:
