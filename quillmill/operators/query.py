@@ -133,6 +133,7 @@ def evaluate(df: DataFrame, column: str, queries: dict[str, Query]) -> DataFrame
     Native queries become expressions; the others share one pass and one parse.
     A null or empty text gives false, an empty text or no values.
     """
+    names = [c for c in df.columns if c not in queries]
     own: dict[str, Column] = {}
     rest: dict[str, Query] = {}
     for name, q in queries.items():
@@ -145,7 +146,7 @@ def evaluate(df: DataFrame, column: str, queries: dict[str, Query]) -> DataFrame
         types = ", ".join(f"`{n}` {SQL_TYPES[q.kind]}" for n, q in rest.items())
         df = df.withColumn("_q", _udf(tuple(rest.items()), types)(F.col(column)))
         df = df.withColumns({n: F.col("_q")[n] for n in rest}).drop("_q")
-    return df.withColumns(own) if own else df
+    return df.withColumns(own).select(*names, *queries) if own else df.select(*names, *queries)
 
 
 def _udf(items: tuple[tuple[str, Query], ...], types: str):

@@ -80,7 +80,8 @@ def import_list(spark: SparkSession, path: str, skip_first: bool = False, ignore
     The header is the line at the start of a file, so a file is read by one task if it is skipped.
     """
     if skip_first:
-        lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.slice(F.split("value", "\r?\n"), 2, 1 << 30)).alias(column))
+        every = F.split("value", r"\r?\n")
+        lines = spark.read.text(path, wholetext=True).select(F.explode(F.slice(every, F.lit(2), F.size(every) - 1)).alias(column))
     else:
         lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias(column))
     return lines.where(trim_space(F.col(column)) != "") if ignore_empty else lines
