@@ -46,6 +46,8 @@ SHARE = 1.1
 #: A query looks at this many vectors of each tree at least, or at all.
 LEAST = 1000
 SALTS = 32
+#: Groups of leaves at least.
+GROUPS = 12
 QUERY_BLOCK = 20_000
 INDEX_BLOCK = 100_000
 SPARE = 8
@@ -213,7 +215,8 @@ def search(
     sizes = np.zeros(trees << depth, np.int64)
     for leaf, m in counted.collect():  # at most one row a leaf of the model
         sizes[leaf] = m
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(n * trees / INDEX_BLOCK))
+    # the number follows the index alone: each group returns a few rows for every query
+    groups = max(GROUPS, ceil(n * trees / INDEX_BLOCK))
     group_of = np.random.default_rng(seed).integers(0, groups, len(sizes))
     budget = max(share * n, float(LEAST * trees))
     n_queries = owners.select("cid").distinct().count()
