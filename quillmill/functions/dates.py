@@ -6,6 +6,7 @@ import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RESOLUTIONS = ("weeks", "days", "months", "years")
@@ -127,34 +128,50 @@ def in_range(date: Column, first: str = "", last: str = "") -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def _first_day(group: Column, resolution: str) -> Column:
+    """The first day of a date group, null for the group of undated things."""
+    g = F.when(group != "", group)
+    if resolution == "weeks":
+        # ISO week 1 holds January 4th
+        jan4 = F.to_date(F.concat(F.substring(g, 1, 4), F.lit("-01-04")))
+        return F.date_add(F.date_sub(jan4, F.weekday(jan4)), (F.substring(g, 7, 2).cast("int") - 1) * 7)
+    return F.to_date(F.concat(g, F.lit({"days": "", "months": "-01", "years": "-01-01"}[resolution])))
+
+
+STEPS = {"weeks": "interval 7 days", "days": "interval 1 day", "months": "interval 1 month", "years": "interval 1 year"}
+
+
 def all_groups(groups: DataFrame, resolution: str, column: str = "date") -> DataFrame:
     """Every date group from the first to the last of a table of groups.
 
     Only the two ends are aggregated; the rest is a generated sequence.
     """
-    g = F.col(column)
-    if resolution == "weeks":
-        # ISO week 1 holds January 4th
-        jan4 = F.to_date(F.concat(F.substring(g, 1, 4), F.lit("-01-04")))
-        monday = F.date_sub(jan4, F.weekday(jan4))
-        day = F.date_add(monday, (F.substring(g, 7, 2).cast("int") - 1) * 7)
-        step = F.expr("interval 7 days")
-    else:
-        rest = {"days": "", "months": "-01", "years": "-01-01"}[resolution]
-        day = F.to_date(F.concat(g, F.lit(rest)))
-        step = F.expr({"days": "interval 1 day", "months": "interval 1 month", "years": "interval 1 year"}[resolution])
-    ends = groups.where(g != "").select(day.alias("d")).agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a is not null")
-    days = ends.select(F.explode(F.sequence("a", "b", step)).alias("d"))
+    day = _first_day(F.col(column), resolution)
+    ends = groups.select(day.alias("d")).agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a is not null")
+    days = ends.select(F.explode(F.sequence("a", "b", F.expr(STEPS[resolution]))).alias("d"))
     return days.select(reduce_date(F.date_format("d", ISO), resolution).alias(column))
 
 
 def fill_gaps(result: DataFrame, resolution: str, column: str = "date") -> DataFrame:
-    """Adds the missing groups between the first and the last one, with zeros in every number column."""
+    """Adds the missing groups between two neighbouring ones, with zeros in every number column.
+
+    Each row generates the groups up to the next one, so what made the result
+    runs once. One row per date group meets in the window, no more than a
+    calendar has.
+    """
     numbers = [f.name for f in result.schema.fields if f.dataType.typeName() in ("integer", "long", "double")]
-    names = result.columns
-    # at most as many groups as there are dates between the ends: one row per day in the finest case
-    joined = all_groups(result.select(column), resolution, column).join(result, column, "full_outer")
-    return joined.select(*[F.coalesce(c, F.lit(0).cast(dict(result.dtypes)[c])).alias(c) if c in numbers else F.col(c) for c in names])
+    step = F.expr(STEPS[resolution])
+    placed = result.withColumn("_d", _first_day(F.col(column), resolution))
+    last = F.lead("_d").over(W.orderBy(F.col("_d").asc_nulls_first()))
+    until = F.greatest(F.col("_d"), (F.coalesce(last, F.col("_d")) - step).cast("date"))
+    spread = placed.withColumn("_u", until).select(
+        "*", F.posexplode(F.when(F.col("_d").isNull(), F.array(F.lit(None).cast("date"))).otherwise(F.sequence("_d", "_u", step))).alias("_i", "_g")
+    )
+    name = F.when(F.col("_i") == 0, F.col(column)).otherwise(reduce_date(F.date_format("_g", ISO), resolution))
+    own = lambda c: F.when(F.col("_i") == 0, F.col(c))
+    return spread.select(
+        *[name.alias(c) if c == column else F.coalesce(own(c), F.lit(0).cast(dict(result.dtypes)[c])).alias(c) if c in numbers else own(c).alias(c) for c in result.columns]
+    )
 
 
 def pretty_duration(milliseconds: Column) -> Column:
