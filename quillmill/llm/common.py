@@ -74,6 +74,12 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
+def key_hash(*cols: Column) -> Column:
+    """The first 60 bits of the md5 of the keys, joined by a unit separator; null is as empty."""
+    text = F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def fraction_hash(*cols: Column) -> Column:
     """A repeatable number in [0, 1) from the columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))

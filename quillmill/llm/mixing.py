@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillmill.llm.common import count_words
+from quillmill.llm.common import count_words, key_hash
 
 CELLS = 512
 #: Source weights by place in code point order, repeating.
@@ -61,7 +61,7 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
 
 def offset(source: str | None, seed: int) -> float:
     """The random offset of a source: the same in every run."""
-    name = b"\0" if source is None else b"s" + source.encode()
+    name = b"\1" if source is None else b"s" + source.encode()
     return int.from_bytes(hashlib.sha256(name + str(seed).encode()).digest()[:6], "big") / (1 << 48)
 
 
@@ -88,7 +88,7 @@ def mix(
     plan = spark.createDataFrame(
         rows, "_s string, source_size long, target double, _rate double, _offset double, _docs long"
     )
-    tie = F.xxhash64(*[F.col(c) for c in (ties or ["doc_id"])])
+    tie = key_hash(*[F.col(c) for c in (ties or ["doc_id"])])
     cell = sized.withColumns({"_tie": tie, "_src": F.col(source)}).withColumn("_cell", F.pmod("_tie", F.lit(CELLS)))
     by_size = cell.groupBy("_src", "size").agg(F.count("*").alias("_n"))
     by_cell = cell.groupBy("_src", "size", "_cell").agg(F.count("*").alias("_n"))

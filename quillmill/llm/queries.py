@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import ann, language_id, lm, mixing, packing, quality, rule_ledger, sharding, simhash, token_files
+from quillmill.llm import ann, language_id, lm, mixing, oracle, packing, quality, rule_ledger, sharding, simhash, token_files
 from quillmill.llm.common import count_words, held_out, materialise, new_path, read_table
 
 SHARD_BYTES = 16 << 20
@@ -64,7 +64,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
     docs = materialise(docs, "mix-sizes")  # the texts are read once; sizes are used four times
-    return mixing.mix(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(docs, size=F.col("size")).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source"
+    )
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +96,8 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_rule_ledger": oracle.RULE_LEDGER,
+    "op7_mixing": oracle.mixed(),
+    "op9_sharding": oracle.sharding(SHARD_BYTES),
+}

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillmill.llm.common import materialise
+from quillmill.llm.common import key_hash, materialise
 
 HASH_BITS = 60
 #: Bits of a band are those that the mean shard needs and this many more.
@@ -33,12 +33,6 @@ SPARE_BITS = 6
 OVERFLOW = 1 << 20
 
 
-def key_hash(*cols: Column) -> Column:
-    """The first 60 bits of the md5 of the keys, joined by a unit separator."""
-    text = F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
 def row_bytes(text: Column, overhead: int = 32) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(overhead)
 

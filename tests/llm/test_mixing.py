@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.llm import mixing as M
+from quillmill.llm.common import key_hash
 
 
 def brute_targets(sizes):
@@ -29,7 +30,7 @@ def docs(spark):
 
 
 def test_takes_match_a_plain_prefix_sum(spark):
-    df = docs(spark).withColumn("t", F.xxhash64("doc_id"))
+    df = docs(spark).withColumn("t", key_hash(F.col("doc_id")))
     got = {r.doc_id: r for r in M.mix(df).collect()}
     assert len(got) == 1500
     by = {}
