@@ -18,6 +18,24 @@ KEPT = 1_200_000
 #: Whether an array of unsigned integers has the layout that ids are kept in.
 NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
 _ENCODERS: dict = {}
+#: Punctuation that is a token part of its own after a word.
+MARKS = b".,;:!?"
+#: Latin letters are split, composed and lower-cased alike everywhere; other text takes the long way.
+LATIN = "\u00ff"
+
+
+def _visible_bytes() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Printable Latin-1 characters stand for themselves, the other bytes in turn
+    for the characters from U+0100 on.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+VISIBLE = _visible_bytes()
 
 
 class PieceEncoder:
@@ -40,7 +58,10 @@ class PieceEncoder:
             path = public_tokenizers.path(name)
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tok.model
         self.spaced, self.kept = spaced, kept
+        marks = [bytes([m]) for m in MARKS]
+        self.marks = {b"": b"", **dict(zip(marks, self.whole([m.decode() for m in marks]), strict=True))}
         self.first: dict[bytes, bytes | None] = {}
         self.rest: dict[bytes, bytes | None] = {} if spaced else self.first
 
@@ -50,18 +71,46 @@ class PieceEncoder:
             return [array("I", e.ids).tobytes() for e in found]
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _word(self, word: bytes, lead: str) -> bytes | None:
+        """The ids of a word of Latin letters, straight from the model; None for anything else.
+
+        Such a word is one pre-token, so the model alone decides.
+        """
+        text = word.decode("utf-8", "replace")
+        if not text.isalpha() or (not text.isascii() and max(text) > LATIN):
+            return None
+        if not self.spaced:
+            text = text.lower()
+        seen = lead + text
+        if not seen.isascii() or lead:
+            seen = "".join([VISIBLE[b] for b in seen.encode()])
+        ids = [t.id for t in self.model.tokenize(seen)]
+        return array("I", ids).tobytes() if NATIVE else np.array(ids, "<u4").tobytes()
+
     def _learn(self, kept: dict[bytes, bytes | None], pieces: set[bytes], lead: str) -> None:
-        new = sorted(pieces.difference(kept))
-        if not new:
+        rest: list[bytes] = []
+        for p in pieces.difference(kept):
+            # a word, or a word and one mark, whose ids follow the word's
+            word, mark = (p[:-1], p[-1:]) if p[-1:] and p[-1:] in MARKS else (p, b"")
+            # after a letter or digit a mark begins a pre-token
+            ids = kept.get(word) if mark and word[-1:].isalnum() else None
+            if ids is None:
+                ids = self._word(word, lead)
+            if ids is None:
+                rest.append(p)
+            else:
+                kept[p] = ids + self.marks[mark]
+        if not rest:
             return
-        texts = [p.decode("utf-8", "replace") for p in new]
+        rest.sort()
+        texts = [p.decode("utf-8", "replace") for p in rest]
         if self.spaced:
             # a cut is sure only between characters that aren't white space
             sure = [bool(t) and not t[0].isspace() and not t[-1].isspace() for t in texts]
         else:
             sure = [True] * len(texts)
-        ids = self.whole([lead + t if s else "" for t, s in zip(texts, sure, strict=True)])
-        kept.update(zip(new, [i if s else None for i, s in zip(ids, sure, strict=True)], strict=True))
+        ids_of = self.whole([lead + t if s else "" for t, s in zip(texts, sure, strict=True)])
+        kept.update(zip(rest, [i if s else None for i, s in zip(ids_of, sure, strict=True)], strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.first) + len(self.rest) > self.kept:
