@@ -44,6 +44,8 @@ from quillmill.llm.common import LOWER, materialise, small_batches
 MAX_BITS = 3
 N_PIVOTS = 24
 TILE = 4096
+#: Blocks over a tile that are broadcast; more of them are joined by shuffle.
+MANY_BLOCKS = 100_000
 SHINGLE = 3
 SEED = 42
 #: Rows that share a fingerprint from here on join by broadcast; at most this many fingerprints can.
@@ -208,7 +210,7 @@ def links(fps: DataFrame, n: int, limit: int = MAX_BITS, n_pivots: int = N_PIVOT
     big = materialise(counts.where(F.col("m") > tile), "simhash-big")
     pairs = F.expr(f"cast(ceil(m / {tile}) as int)")
     big = big.select("t", "key", pairs.alias("g"))
-    tagged = keyed.join(F.broadcast(big) if n <= 1 << 30 else big, ["t", "key"], "left")
+    tagged = keyed.join(F.broadcast(big) if big.count() <= MANY_BLOCKS else big, ["t", "key"], "left")
     mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     spread = tagged.withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn(
         "other", F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("g") - 1)))
