@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import urls as U
 from quillmill.operators import relational as R
 from quillmill.operators.query import Query, allow, evaluate
+from quillmill.sources.checkpoints import checkpoint
 
 #: Responses after which a fetch is tried again.
 RETRY_CODES = (429, 502, 503, 504, 521, 522, 524)
@@ -68,7 +69,7 @@ def crawl(start: DataFrame, fetch: Fetch, rounds: int, domain: str | None = None
     seen = start.select("url").distinct().withColumn("depth", F.lit(0))
     edge = seen
     for depth in range(1, rounds + 1):
-        new = frontier(fetch(edge.select("url")), seen, domain).withColumn("depth", F.lit(depth)).checkpoint()
+        new = checkpoint(frontier(fetch(edge.select("url")), seen, domain).withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         seen, edge = seen.unionByName(new), new

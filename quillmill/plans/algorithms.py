@@ -20,6 +20,7 @@ from quillmill.functions import text as T
 from quillmill.functions.dates import fill_gaps, reduce_date
 from quillmill.functions.sentiment import Scorer
 from quillmill.operators import corpus as C
+from quillmill.sources.checkpoints import checkpoint
 
 REGISTRY: dict[int, type[Algorithm]] = {}
 
@@ -115,7 +116,7 @@ def number_rows(df: DataFrame, order: list[str], out: str) -> DataFrame:
     a range's number of rows and its rows agree.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    ranged = checkpoint(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_k"))
     start = sizes.withColumn("_b", F.coalesce(F.sum("_k").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
