@@ -40,5 +40,6 @@ def parse_new(spark: SparkSession, path: str, schema: StructType, cfg: ParserCon
 def groups_over_time(stream: DataFrame, time: str, resolution: str, late: str = "7 days") -> DataFrame:
     """Counts per date group of an event stream, with a bound on how late events may come."""
     date = F.date_format("_d", "yyyy-MM-dd")
-    days = stream.withWatermark(time, late).groupBy(F.window(time, "1 day")).agg(F.count("*").alias("n"))
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    days = timed.withWatermark(time, late).groupBy(F.window(time, "1 day")).agg(F.count("*").alias("n"))
     return days.withColumn("_d", F.col("window.start")).select(reduce_date(date, resolution).alias("date"), "n")
