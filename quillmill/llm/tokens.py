@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from quillmill.llm.common import LOWER
+
 #: Pieces kept by a worker: about 150 bytes each.
 KEPT = 1_200_000
 #: Whether an array of unsigned integers has the layout that ids are kept in.
@@ -71,6 +73,13 @@ class PieceEncoder:
             return [array("I", e.ids).tobytes() for e in found]
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _plain(self, text: bytes) -> bytes:
+        """The text, in lower case if the tokenizer lowers it anyway, so that fewer pieces differ.
+
+        Not with combining marks: some compose with a small letter only.
+        """
+        return text if self.spaced or b"\xcc" in text or b"\xcd" in text else text.translate(LOWER)
+
     def _word(self, word: bytes, lead: str) -> bytes | None:
         """The ids of a word of Latin letters, straight from the model; None for anything else.
 
@@ -116,7 +125,7 @@ class PieceEncoder:
         if len(self.first) + len(self.rest) > self.kept:
             self.first.clear()
             self.rest.clear()
-        cut = [t.split(b" ") if t else [] for t in texts]
+        cut = [self._plain(t).split(b" ") if t else [] for t in texts]
         if self.spaced:
             self._learn(self.first, {p[0] for p in cut if p}, "")
             self._learn(self.rest, set().union(*[p[1:] for p in cut]) if cut else set(), " ")

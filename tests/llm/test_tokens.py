@@ -11,7 +11,7 @@ from quillmill.llm.tokens import PieceEncoder
 
 TEXTS = [
     "", " ", "a", " a", "a ", "  two  spaces  ", "line\nbreak \n mixed\n\n", "it's we're I'LL 'tis don''t", "x y  z　w", "\ta\tb", "é e ́x",
-    "<|endoftext|> a <|startoftext|>", "Straße ÉCOLE ΣΑΣ İx", "12 345,67 $5 #x", "word " * 300, "a\x1cb \x1c c", "日本語 テキスト", "🙂 🙂🙂", "'s 's s' 't", "x" * 3000, "a\r\nb",
+    "<|endoftext|> a <|startoftext|>", "Straße ÉCOLE ΣΑΣ İx", "12 345,67 $5 #x", "word " * 300, "a\x1cb \x1c c", "日本語 テキスト", "🙂 🙂🙂", "J\u030c H\u0331 T\u0308 A\u030a j\u030c", "WORD, Word. wOrd! word.. É, ÿ? 1, x1.", "'s 's s' 't", "x" * 3000, "a\r\nb",
 ]
 
 
