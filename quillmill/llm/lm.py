@@ -17,9 +17,10 @@ positives down.
 
 Counting is distributed: partial counts of hashed n-grams are packed by segment
 (the leading hash bits), each segment is summed and made into its part of the
-filter in one task, and only finished bits reach the driver. The broadcast
-filter holds ``BITS`` per entry up to ``MAX_BYTES``; beyond that segments keep
-their share of it and false positives rise, but no n-gram is left out.
+filter in one task. The filter holds ``BITS`` per entry, however many there are.
+Up to ``MAX_BYTES`` its bits are broadcast. A larger one stays a table: chunks
+of texts ask parts of it for their distinct n-grams, and the levels come back to
+the chunk in a second join; both ways give the same scores.
 
 The base score is exact: the counts of the most frequent words (at most
 ``HEAD``) are broadcast, all other words of a text meet theirs in a join. Those
@@ -34,12 +35,13 @@ score 0; an empty table gives an empty result; other columns are not carried.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ from quillmill.llm.common import LOWER, fraction_hash, materialise, small_batche
 
 HEAD = 1 << 17
 HEAD_WORD = 64
+#: The largest filter that is broadcast.
 MAX_BYTES = 128 << 20
 BITS = 8
 PROBES = 4
@@ -59,6 +62,9 @@ KEPT = 300_000
 #: N-grams that a worker sums before it passes them on.
 CHUNK = 1 << 21
 SEGMENT_BYTES = 16 << 20
+#: Tokens of the texts that ask a filter in a table together, and log2 of the segments that answer together.
+ASKING = 1 << 19
+PART_BITS = 2
 END = b""
 _U = np.uint64
 _LOW = _U((1 << 32) - 1)
@@ -113,6 +119,7 @@ class Filter:
     bits: np.ndarray  # bits of each segment
     shift: int
     top: int  # the highest level that any n-gram has
+    first: int = 0  # number of the first segment
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 if it is not in the filter."""
@@ -121,7 +128,7 @@ class Filter:
         while len(alive) and lvl < self.top:
             lvl += 1
             k = keys[alive]
-            seg = (k >> _U(self.shift)).astype(np.int64)
+            seg = (k >> _U(self.shift)).astype(np.int64) - self.first
             start, bits = self.start[seg], self.bits[seg]
             a, d = _probe(k & _KEPT_BITS, lvl)
             for _ in range(PROBES):
@@ -136,10 +143,38 @@ class Filter:
         return out
 
 
-def build_segment(keys: np.ndarray, levels: np.ndarray, most_bytes: int) -> np.ndarray:
+def join_segments(segments: Iterable[tuple[int, bytes]], n: int, shift: int, top: int, first: int = 0) -> Filter:
+    """The filter of (number, bits) of segments; of n segments from the first, those not given are empty."""
+    start, bits, chunks, at = np.zeros(n, np.uint64), np.full(n, 8, np.uint64), [np.zeros(1, np.uint8)], 8
+    for seg, raw in segments:
+        data = np.frombuffer(raw, np.uint8)
+        start[seg - first], bits[seg - first] = at, len(data) * 8
+        chunks.append(data)
+        at += len(data) * 8
+    return Filter(np.concatenate(chunks), start, bits, shift, top, first)
+
+
+class Answers:
+    """Levels of the n-grams that a chunk of texts has asked for."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.found = keys[order], levels[order].astype(np.int64)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        if (self.keys[at] != keys).any():
+            raise KeyError("an n-gram was not asked for")
+        return self.found[at]
+
+
+def build_segment(keys: np.ndarray, levels: np.ndarray, most_bytes: int | None) -> np.ndarray:
     """The bytes of a segment that holds these n-grams at these levels."""
     events = int(levels.sum())
-    size = max(8, min(most_bytes, ceil(events * BITS / 8)))
+    size = ceil(events * BITS / 8)
+    size = max(8, size if most_bytes is None else min(most_bytes, size))
     data = np.zeros(size * 8, bool)
     bits = _U(size * 8)
     for lvl in range(1, int(levels.max(initial=0)) + 1):
@@ -152,19 +187,42 @@ def build_segment(keys: np.ndarray, levels: np.ndarray, most_bytes: int) -> np.n
 
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | Answers | None  # none while the segments are a table
     n: int
     v: int
     discount: float
     mean1: np.ndarray  # mean count of the words on each level
     mean2: np.ndarray  # the same for bigrams
     head: dict[bytes, int]
+    top: int  # the highest level that any n-gram has
+    shift: int
     prior: np.ndarray  # prior strength by the level of the first word
+    segments: DataFrame | None = None  # (seg, bits) of a filter that is too large to broadcast
 
     @property
     def unit(self) -> float:
         return float(self.n + self.v + 1)
 
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of words with these expected counts."""
+        return np.where(counts > 0, np.maximum(counts - self.discount, 0.05), self.discount * self.v) / self.n
+
+    def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts for levels of (first word, second word, bigram), as arrays to broadcast."""
+        every = np.arange(self.top + 1)
+        one, two = _mean(self.mean1, every), _mean(self.mean2, every)
+        first, second = one[:, None, None], one[None, :, None]
+        return first, second, np.minimum(two[None, None, :], np.minimum(first, second))
+
+    def log10(self) -> np.ndarray:
+        """log10 p for levels of (first word, second word, bigram)."""
+        if not self.n:
+            return np.zeros([self.top + 1] * 3)
+        c1, c, c2 = self.expected()
+        prior, p1 = self.prior[:, None, None], self.unigram(c)
+        p = np.where(c1 > 0, (c2 + prior * p1) / (c1 + prior), p1)
+        return np.log10(np.minimum(p, 1.0))
+
 
 def _vocabulary(train: DataFrame) -> DataFrame:
     """(token, n) of the training words, and of the end token as the empty one."""
@@ -251,9 +309,9 @@ def _unigram_parts(vocab: DataFrame, shift: int) -> DataFrame:
     return vocab.select("token", "n").mapInArrow(run, _PARTS)
 
 
-def _build(parts: DataFrame, n_segments: int, tasks: int, max_bytes: int) -> DataFrame:
+def _build(parts: DataFrame, n_segments: int, tasks: int, max_bytes: int | None) -> DataFrame:
     """One row per segment: its bits, and per order and level the n-grams and their counts."""
-    most = max(8, max_bytes // n_segments)
+    most = None if max_bytes is None else max(8, max_bytes // n_segments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(seg: int, blobs: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
@@ -296,8 +354,13 @@ def _build(parts: DataFrame, n_segments: int, tasks: int, max_bytes: int) -> Dat
     return dealt.mapInArrow(run, "seg long, bits binary, ord array<long>, level array<long>, num array<long>, total array<long>")
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", max_bytes: int = MAX_BYTES, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model of the training rows, and the exact vocabulary (token, n)."""
+def fit(
+    docs: DataFrame, train: Column, text: str = "text", max_bytes: int | None = None, head: int = HEAD, broadcast_bytes: int = MAX_BYTES
+) -> tuple[Model, DataFrame]:
+    """The model of the training rows, and the exact vocabulary (token, n).
+
+    A caller can bound the filter by ``max_bytes``, at the price of false positives.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.where(train).select(F.col(text).cast("binary").alias("t"))
@@ -322,64 +385,69 @@ def fit(docs: DataFrame, train: Column, text: str = "text", max_bytes: int = MAX
     top = vocab.where((bucket >= low) & (F.octet_length("token") <= HEAD_WORD)).collect() if low is not None else []
     counts = {bytes(r["token"]): r["n"] for r in top}  # at most `head` words of HEAD_WORD bytes
     parts = _bigram_parts(rows, shift).unionByName(_unigram_parts(vocab, shift))
-    built = _build(parts, n_segments, tasks, max_bytes)
-    start, bits, chunks, at = np.zeros(n_segments, np.uint64), np.full(n_segments, 8, np.uint64), [np.zeros(1, np.uint8)], 8
+    built = materialise(_build(parts, n_segments, tasks, max_bytes), "lm-segments")
     stats: Counter = Counter()
-    for r in built.toLocalIterator(prefetchPartitions=False):  # finished bits, max_bytes of them at most
-        data = np.frombuffer(bytes(r["bits"]), np.uint8)
-        start[r["seg"]], bits[r["seg"]] = at, len(data) * 8
-        chunks.append(data)
-        at += len(data) * 8
-        for o, i, num, total in zip(r["ord"], r["level"], r["num"], r["total"], strict=True):
-            stats[o, i, 0] += num
-            stats[o, i, 1] += total
+    each = built.select(F.explode(F.arrays_zip("ord", "level", "num", "total")).alias("s")).groupBy("s.ord", "s.level")
+    for o, i, num, total in each.agg(F.sum("s.num"), F.sum("s.total")).collect():  # a row for each order and level
+        stats[o, i, 0], stats[o, i, 1] = num, total
+    highest = max([i for _, i, _ in stats], default=0)
+    kept = built.select("seg", "bits")
+    segments, found = kept, None
+    if (built.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= broadcast_bytes:
+        rows_of = kept.toLocalIterator(prefetchPartitions=False)  # broadcast_bytes of them at most
+        segments, found = None, join_segments(((r["seg"], bytes(r["bits"])) for r in rows_of), n_segments, shift, highest)
     means = []
     for o in (1, 2):
         most = max([i for k, i, _ in stats if k == o], default=0)
         # a level that no n-gram has, reached by a false positive, stands for its lowest count
         means.append(np.array([0.0] + [stats[o, i, 1] / stats[o, i, 0] if stats[o, i, 0] else BASE ** (i - 1) for i in range(1, most + 40)]))
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    prior = np.full(len(means[0]), PRIORS[-1])
-    model = Model(Filter(np.concatenate(chunks), start, bits, shift, max([i for _, i, _ in stats], default=0)), n, v, discount, means[0], means[1], counts, prior)
+    prior = np.full(highest + 1, PRIORS[-1])
+    model = Model(found, n, v, discount, means[0], means[1], counts, highest, shift, prior, segments)
     _choose_priors(model, rows)
     return model, vocab
 
 
 def _choose_priors(model: Model, rows: DataFrame) -> None:
     """Sets each level's prior strength by leave-one-out likelihood on a sample of the training texts."""
-    spark, n = rows.sparkSession, rows.count()
-    shared = spark.sparkContext.broadcast(model)
-    size = len(model.prior)
+    if not model.n:
+        return
+    n, size = rows.count(), model.top + 1
+    some = rows.where(fraction_hash(F.lit("prior"), F.col("t")) < F.lit(SAMPLE / max(n, SAMPLE)))
+    none = F.lit(None)
+    looked = _look_up(some.select(F.monotonically_increasing_id().alias("row"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), "t"), model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, total = Scorer(shared.value), np.zeros((size, len(PRIORS)))
+        seen = np.zeros(size**3, np.int64)
         for b in batches:
-            seq = [END]
-            for t in b.column(0).to_pylist():
-                seq += tokens(t)
-                seq.append(END)
-            at = s.learn(seq)
-            c, lvl = s.c1[at], s.l1[at]
-            c2 = s.bigrams(at)
-            p1 = s.unigram(np.maximum(c[1:] - 1, 0))
-            c1, c2 = np.maximum(c[:-1] - 1, 0), np.maximum(c2 - 1, 0)
-            c2 = np.minimum(c2, c1)
-            for k, m in enumerate(PRIORS):
-                total[:, k] += np.bincount(lvl[:-1], weights=np.log10((c2 + m * p1) / (c1 + m)), minlength=size)[:size]
-        at = np.argwhere(total)
-        cols = [pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(total[at[:, 0], at[:, 1]])]
-        yield pa.RecordBatch.from_arrays(cols, names=["level", "k", "ll"])
-
-    some = rows.where(fraction_hash(F.lit("prior"), F.col("t")) < F.lit(SAMPLE / max(n, SAMPLE)))
-    sums = some.mapInArrow(run, "level long, k long, ll double").groupBy("level", "k").agg(F.sum("ll").alias("ll"))
-    table = np.zeros((size, len(PRIORS)))
-    for lvl, k, ll in sums.collect():  # a row for each level and prior
-        table[lvl, k] = ll
+            code = _codes(b.column(0), b.column(1), size)
+            seen += np.bincount(code, minlength=size**3)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["code", "n"])
+
+    sums = looked.select("l1", "l2").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n"))
+    times = np.zeros(size**3)
+    for code, k in sums.collect():  # a row for each three levels that occur
+        times[code] = k
+    times = times.reshape(size, size, size)
+    c1, c, c2 = model.expected()
+    p1 = model.unigram(np.maximum(c - 1, 0))
+    c1 = np.maximum(c1 - 1, 0)
+    c2 = np.minimum(np.maximum(c2 - 1, 0), c1)
+    table = np.stack([(times * np.log10((c2 + m * p1) / (c1 + m))).sum(axis=(1, 2)) for m in PRIORS], axis=1)
     for lvl in range(1, size):
-        # a level without a sample takes what the level below it has
+        # a level that no text has takes what the level below it has
         model.prior[lvl] = PRIORS[int(table[lvl].argmax())] if table[lvl].any() else model.prior[lvl - 1]
 
 
+def _codes(l1: pa.Array, l2: pa.Array, size: int) -> np.ndarray:
+    """(first word, second word, bigram) levels of every place of the texts, as numbers to the base ``size``."""
+    one = np.frombuffer(b"".join(l1.to_pylist()), np.uint8).astype(np.int64)
+    two = np.frombuffer(b"".join(l2.to_pylist()), np.uint8)
+    # every text ends with the end token, which is before the next one's first
+    return (np.roll(one, 1) * size + one) * size + two
+
+
 class Scorer:
     """Scores texts with a model; remembers what it found out about words."""
 
@@ -392,7 +460,6 @@ class Scorer:
         self.words: list[bytes] = []
         self.hash = np.zeros(0, np.uint64)
         self.l1 = np.zeros(0, np.int64)  # level, 0 if not in the filter
-        self.c1 = np.zeros(0)  # expected count
         self.exact = np.zeros(0, np.int64)  # count of a head word, else -1
 
     def learn(self, seq: list[bytes]) -> np.ndarray:
@@ -406,77 +473,187 @@ class Scorer:
             lvl = self.m.filter.levels(unigram_key(h))
             get = self.m.head.get
             self.hash = np.concatenate([self.hash, h])
-            self.l1 = np.concatenate([self.l1, np.minimum(lvl, len(self.m.prior) - 1)])
-            self.c1 = np.concatenate([self.c1, _mean(self.m.mean1, lvl)])
+            self.l1 = np.concatenate([self.l1, lvl])
             self.exact = np.concatenate([self.exact, np.fromiter((get(w, -1) for w in new), np.int64, len(new))])
         return np.fromiter(map(self.known.__getitem__, seq), np.int64, len(seq))
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        """Probabilities of words with these expected counts."""
-        m = self.m
-        return np.where(counts > 0, np.maximum(counts - m.discount, 0.05), m.discount * m.v) / m.n
-
     def bigrams(self, at: np.ndarray) -> np.ndarray:
-        """Expected counts of a sequence's bigrams, no larger than those of their words."""
-        h, c = self.hash[at], self.c1[at]
-        both = np.flatnonzero((c[:-1] > 0) & (c[1:] > 0))
-        out = np.zeros(len(at) - 1)
-        lvl = self.m.filter.levels(bigram_key(h[:-1][both], h[1:][both]))
-        out[both] = np.minimum(_mean(self.m.mean2, lvl), np.minimum(c[:-1][both], c[1:][both]))
+        """Levels of a sequence's bigrams, 0 if one of their words is not in the filter."""
+        h, l1 = self.hash[at], self.l1[at]
+        both = np.flatnonzero((l1[:-1] > 0) & (l1[1:] > 0))
+        out = np.zeros(len(at) - 1, np.int64)
+        out[both] = self.m.filter.levels(bigram_key(h[:-1][both], h[1:][both]))
         return out
 
-    def log10(self, at: np.ndarray) -> np.ndarray:
-        """log10 p of each place after the first of a sequence of word numbers."""
-        if not self.m.n:
-            return np.zeros(len(at) - 1)
-        c, prior = self.c1[at], self.m.prior[self.l1[at[:-1]]]
-        p1 = self.unigram(c[1:])
-        p = np.where(c[:-1] > 0, (self.bigrams(at) + prior * p1) / (c[:-1] + prior), p1)
-        return np.log10(np.minimum(p, 1.0))
+    def rows(self, b: pa.RecordBatch) -> pa.RecordBatch:
+        """What the (row, doc_id, held_out, t) of a batch come to: ``LOOKED``."""
+        seq: list[bytes] = [END]
+        cut = [1]
+        for t in b.column(3).to_pylist():
+            seq += tokens(t)
+            seq.append(END)
+            cut.append(len(seq))
+        at = self.learn(seq)
+        l1, l2 = self.l1[at].astype(np.uint8), self.bigrams(at).astype(np.uint8)
+        exact = self.exact[at]
+        base = np.log10((np.maximum(exact, 0) + 1) / self.m.unit)
+        out: list[tuple] = []
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            own = exact[x:y] >= 0
+            tail, times = np.unique(at[x:y][~own], return_counts=True)
+            words = [self.words[i] for i in tail.tolist()]
+            out.append((y - x, int(own.sum()), float(base[x:y][own].sum()), words, times.tolist(), l1[x:y].tobytes(), l2[x - 1 : y - 1].tobytes()))
+        cols = list(zip(*out, strict=True)) or [()] * 7
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        arrays = [*b.columns[:3], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]]
+        return pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "words", "times", "l1", "l2"])
 
 
 def _mean(means: np.ndarray, lvl: np.ndarray) -> np.ndarray:
     return means[np.minimum(lvl, len(means) - 1)]
 
 
+LOOKED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, words array<binary>, times array<long>, l1 binary, l2 binary"
+
+
+def _look_up(src: DataFrame, model: Model) -> DataFrame:
+    """(row, doc_id, held_out, t) as ``LOOKED``: levels of every word and bigram, counts of head words, the other words."""
+    if model.segments is not None:
+        return _look_up_by_join(src, model)
+    shared = src.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Scorer(shared.value)
+        for b in batches:
+            yield s.rows(b)
+
+    return src.mapInArrow(run, LOOKED)
+
+
+def _look_up_by_join(src: DataFrame, model: Model) -> DataFrame:
+    """The same with segments in a table: chunks of texts ask for their n-grams, parts of the filter answer."""
+    spark, segments = src.sparkSession, model.segments
+    shared = spark.sparkContext.broadcast(replace(model, segments=None))
+    shift, top = model.shift, model.top
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, seen = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            chunk = []
+            for t in b.column(3).to_pylist():
+                chunk.append(first + seen // ASKING)
+                seen += len(tokens(t)) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunk, pa.int64())], names=[*b.schema.names, "chunk"])
+
+    # chunks are numbered once: both sides of the join read the same ones
+    texts = materialise(src.mapInArrow(number, "row long, doc_id long, held_out boolean, t binary, chunk long"), "lm-chunks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.concatenate(held))
+            part = (keys >> _U(shift + PART_BITS)).astype(np.int64)
+            where = _runs(part)
+            cols = [
+                pa.array([int(part[a]) for a, _ in where], pa.int64()), pa.array([now] * len(where), pa.int64()),
+                pa.array([None] * len(where), pa.int64()), pa.array([keys[a:z].tobytes() for a, z in where], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "chunk", "seg", "data"])
+
+        for b in batches:
+            chunk = b.column(0).to_numpy()
+            for a, z in _runs(chunk):
+                if held and chunk[a] != now:
+                    yield from close()
+                    held = []
+                now = int(chunk[a])
+                seq: list[bytes] = [END]
+                for t in b.column(1).slice(a, z - a).to_pylist():
+                    seq += tokens(t)
+                    seq.append(END)
+                words = list(set(seq))
+                at = dict(zip(words, range(len(words)), strict=True))
+                h = word_hash(words)
+                row = h[np.fromiter(map(at.__getitem__, seq), np.int64, len(seq))]
+                held.append(np.unique(np.concatenate([unigram_key(h), bigram_key(row[:-1], row[1:])])))
+        if held:
+            yield from close()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits, found = None, [], None
+        for b in batches:
+            out = []
+            for part, chunk, seg, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if part != now:
+                    now, bits, found = part, [], None
+                if seg is not None:  # a part's segments come before what asks it
+                    bits.append((seg, data))
+                    continue
+                if found is None:
+                    found = join_segments(bits, 1 << PART_BITS, shift, top, part << PART_BITS)
+                out.append((chunk, data, found.levels(np.frombuffer(data, np.uint64)).astype(np.uint8).tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            kinds = [pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "keys", "levels"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, now, got = Scorer(replace(shared.value)), None, []
+        for b in batches:
+            chunk, is_text = b.column(4).to_numpy(), b.column(5).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, z in _runs(chunk * 2 + is_text):
+                if chunk[a] != now:
+                    now, got = chunk[a], []
+                    s.clear()
+                    s.m.filter = None
+                part = b.slice(a, z - a)
+                if not is_text[a]:  # a chunk's answers come before its texts
+                    got += zip(part.column(6).to_pylist(), part.column(7).to_pylist(), strict=True)
+                    continue
+                if s.m.filter is None:
+                    s.m.filter = Answers(np.frombuffer(b"".join(k for k, _ in got), np.uint64), np.frombuffer(b"".join(v for _, v in got), np.uint8))
+                yield s.rows(part)
+
+    asks = texts.select("chunk", "t").mapInArrow(ask, "part long, chunk long, seg long, data binary")
+    parts = segments.select(F.shiftright("seg", PART_BITS).alias("part"), F.lit(None).cast("long").alias("chunk"), "seg", F.col("bits").alias("data"))
+    tasks = segments.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    tasks = max(int(tasks), ceil((1 << (64 - shift)) / (1 << PART_BITS) / 4))
+    # nulls come first
+    dealt = asks.unionByName(parts).repartition(tasks, "part").sortWithinPartitions("part", "chunk")
+    answers = dealt.mapInArrow(answer, "chunk long, keys binary, levels binary")
+    none = F.lit(None)
+    meet = texts.select("*", F.lit(True).alias("is_text"), none.cast("binary").alias("keys"), none.cast("binary").alias("levels")).unionByName(
+        answers.withColumn("is_text", F.lit(False)), allowMissingColumns=True
+    )
+    return meet.repartition(tasks, "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(look, LOOKED)
+
+
+def _runs(a: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    if not len(a):
+        return []
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]]).tolist()
+    return list(zip(cut[:-1], cut[1:], strict=True))
+
+
 def score(docs: DataFrame, held: Column, model: Model, vocab: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The contract's row for each document."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     src = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).cast("binary").alias("t")
     )
+    table, size = model.log10(), model.top + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scorer(shared.value)
-        unit = s.m.unit
+        logs = table.ravel()
         for b in batches:
-            seq: list[bytes] = [END]
-            cut = [1]
-            for t in b.column(3).to_pylist():
-                seq += tokens(t)
-                seq.append(END)
-                cut.append(len(seq))
-            at = s.learn(seq)
-            logs = s.log10(at)
-            exact = s.exact[at]
-            base = np.log10((np.maximum(exact, 0) + 1) / unit)
-            out: list[tuple] = []
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                own = exact[x:y] >= 0
-                tail, times = np.unique(at[x:y][~own], return_counts=True)
-                words = [s.words[i] for i in tail.tolist()]
-                out.append((y - x, int(own.sum()), float(base[x:y][own].sum()), float(logs[x - 1 : y - 1].sum()), words, times.tolist()))
-            n, known, head, total, words, times = zip(*out, strict=True) if out else ([],) * 6
-            cols = [
-                *b.columns[:3], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(head, pa.float64()), pa.array(total, pa.float64()),
-                pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "words", "times"])
+            n = b.column(3).to_numpy()
+            code = _codes(b.column(8), b.column(9), size)
+            sums = np.add.reduceat(logs[code], np.cumsum(n) - n) if len(n) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:8], pa.array(sums, pa.float64())], names=[*b.schema.names[:8], "score"])
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, words array<binary>, times array<long>"
-    scored = materialise(src.mapInArrow(run, schema), "lm-scored")
+    schema = LOOKED.removesuffix(", l1 binary, l2 binary") + ", score double"
+    scored = materialise(_look_up(src, model).mapInArrow(run, schema), "lm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("p")).select("row", F.col("p.words").alias("token"), F.col("p.times").alias("tf"))
     met = rare.join(vocab, "token", "left")
     term = F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(model.unit))

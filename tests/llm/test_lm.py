@@ -88,3 +88,24 @@ def test_empty_table_and_no_training_rows(spark):
     df = spark.createDataFrame([(only, "a b")], "doc_id long, text string")
     (r,) = run(df)[1]
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score, r.held_out) == (3, 0, 0, 0.0, 0.0, True)
+
+
+def test_a_filter_too_large_to_broadcast_is_joined_and_loses_nothing(spark, rows, monkeypatch):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    broadcast, want = run(df)
+    monkeypatch.setattr(lm, "ASKING", 500)
+    joined, got = run(df, broadcast_bytes=256 * 8)
+    assert joined.filter is None and joined.segments is not None
+    # the whole filter, at BITS an entry, and not the bound's share of it
+    bits = joined.segments.agg(F.sum(F.octet_length("bits"))).first()[0]
+    assert bits == len(broadcast.filter.data) - 1 > 256 * 8
+    assert (joined.prior == broadcast.prior).all()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert run(spark.createDataFrame([], "doc_id long, text string"), broadcast_bytes=-1)[1] == []
+
+
+def test_bits_an_entry_do_not_fall_as_entries_grow():
+    keys = lm.mix(np.arange(1 << 20, dtype=np.uint64))
+    for n in (1 << 12, 1 << 20):
+        assert len(lm.build_segment(keys[:n], np.ones(n, np.int64), None)) == n * lm.BITS // 8
