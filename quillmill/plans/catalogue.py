@@ -360,6 +360,12 @@ def join9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.crawled(spark, sf_dir).join(c, "url").select(F.col("name").alias("url"), "id", F.date_format("crawltime", "yyyy-MM-dd HH:mm:ss").alias("crawltime"))
 
 
+@query("join9_page_versions_all", "SELECT c.c_name AS url, e.event_id AS id, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS crawltime FROM customer c JOIN events e ON c.c_custkey = e.user_id")
+def join9_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url"), F.col("c_name").alias("name"))
+    return I.crawled(spark, sf_dir).join(c, "url").select(F.col("name").alias("url"), "id", F.date_format("crawltime", "yyyy-MM-dd HH:mm:ss").alias("crawltime"))
+
+
 @query("join10_rows_of_url", "SELECT o.o_orderkey, l.l_linenumber, l.l_quantity FROM orders o, lineitem l WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'P' AND EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = o.o_orderkey AND x.l_quantity > 45)")
 def join10(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -859,14 +865,23 @@ def prj19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", K.add_params(F.col("url"), ["a=1", "b=2"]).alias("url"))
 
 
-@query("prj20_mementos", "SELECT o_orderkey AS from_id, unnest(['http://a/' || o_orderkey, 'http://b/' || o_orderkey]) AS url, strftime(o_orderdate, '%Y%m%d000000') AS stamp FROM orders WHERE o_orderkey < 2000")
-def prj20(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _time_maps(o: DataFrame) -> DataFrame:
+    """The mementos of a time map for each order."""
     when = F.date_format("o_orderdate", "EEE, dd MMM yyyy '00:00:00 GMT'")
     entry = lambda x, rel: F.concat(F.lit(f"<http://{x}/"), "o_orderkey", F.lit(f'>; rel="{rel}"; datetime="'), when, F.lit('"'))
-    o = read(spark, sf_dir, "orders").where("o_orderkey < 2000")
     return K.mementos(o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit('<http://x>; rel="original",\n'), entry("a", "first memento"), F.lit(",\n"), entry("b", "memento")).alias("content")))
 
 
+@query("prj20_mementos", "SELECT o_orderkey AS from_id, unnest(['http://a/' || o_orderkey, 'http://b/' || o_orderkey]) AS url, strftime(o_orderdate, '%Y%m%d000000') AS stamp FROM orders WHERE o_orderkey < 2000")
+def prj20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _time_maps(read(spark, sf_dir, "orders").where("o_orderkey < 2000"))
+
+
+@query("prj20_mementos_all", "SELECT o_orderkey AS from_id, unnest(['http://a/' || o_orderkey, 'http://b/' || o_orderkey]) AS url, strftime(o_orderdate, '%Y%m%d000000') AS stamp FROM orders")
+def prj20_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _time_maps(read(spark, sf_dir, "orders"))
+
+
 @query("prj21_archive_references", "SELECT DISTINCT 'u' || user_id AS url, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM events WHERE event_type = 'error'")
 def prj21(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.date_format("ts", "yyyyMMddHHmmss")
