@@ -497,6 +497,13 @@ def set3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_lists([p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0"), more])
 
 
+@query("set3_merge_lists_all", "SELECT url FROM pages WHERE page_id % 2 = 0 OR page_id IS NULL UNION SELECT url FROM pages WHERE page_id % 3 = 0 UNION SELECT url FROM pages WHERE page_id % 2 <> 0 UNION SELECT 'https://' || c_name FROM customer")
+def set3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages")
+    more = read(spark, sf_dir, "customer").select(F.concat(F.lit("https://"), "c_name").alias("url"))
+    return R.merge_lists([p.where("page_id % 2 = 0 OR page_id IS NULL"), p.where("page_id % 3 = 0"), p.where("page_id % 2 <> 0"), more])
+
+
 @query(
     "set4_upsert",
     """WITH n AS (SELECT user_id AS content, arg_max(props, event_id) AS value FROM events GROUP BY 1), o AS (SELECT c_custkey AS content, c_name AS value FROM customer)
@@ -639,6 +646,12 @@ def dat6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.all_groups(have, "days").join(have, "date", "left_anti")
 
 
+@query("dat6_date_gaps_all", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS x FROM orders) SELECT strftime(CAST(g AS DATE), '%Y-%m-%d') AS date FROM (SELECT unnest(generate_series(min(x), max(x), INTERVAL 1 DAY)) AS g FROM d) WHERE CAST(g AS DATE) NOT IN (SELECT x FROM d)")
+def dat6_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).distinct()
+    return D.all_groups(have, "days").join(have, "date", "left_anti")
+
+
 @query("flt7_date_in_range", "SELECT o_orderkey, d >= '1995-01-01' AND d <= '1996-06-30' AS both_, d >= '1995-01-01' AS open_ FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)")
 def flt7(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.date_format("o_orderdate", "yyyy-MM-dd")
