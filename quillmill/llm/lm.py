@@ -52,8 +52,8 @@ HEAD_WORD = 64
 #: The largest filter that is broadcast.
 MAX_BYTES = 128 << 20
 BITS = 8
-PROBES = 4
-BASE = 2.0
+PROBES = 5
+BASE = 1.5
 #: Prior strengths to choose from, and the bound on the training texts that choose.
 PRIORS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1e3, 3e3, 1e4, 1e5, 1e6)
 SAMPLE = 2000

@@ -109,3 +109,15 @@ def test_bits_an_entry_do_not_fall_as_entries_grow():
     keys = lm.mix(np.arange(1 << 20, dtype=np.uint64))
     for n in (1 << 12, 1 << 20):
         assert len(lm.build_segment(keys[:n], np.ones(n, np.int64), None)) == n * lm.BITS // 8
+
+
+def test_counts_on_a_level_differ_by_half_at_most_and_false_positives_stay_rare():
+    counts = np.arange(1, 100_000)
+    lvl = lm.level(counts)
+    first = np.flatnonzero(np.diff(lvl, prepend=0))
+    last = np.append(first[1:], len(counts)) - 1
+    assert (counts[last] / counts[first] <= 1.5 + 1e-9).all()
+    keys = lm.mix(np.arange(1 << 18, dtype=np.uint64))
+    bits = lm.build_segment(keys[: 1 << 17], np.ones(1 << 17, np.int64), None)
+    found = lm.join_segments([(0, bits.tobytes())], 1, 63, 1).levels(keys[1 << 17 :] >> np.uint64(1))
+    assert (found > 0).mean() < 0.0225
