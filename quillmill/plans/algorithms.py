@@ -334,20 +334,26 @@ class TopicModelling(Algorithm):
     iterations: int = 10
     seed: int = 1
     top_tokens: int = 5
-    vocabulary: int = 1 << 16
+    #: The most tokens to keep, the most frequent ones; none keeps all that pass min_cf and min_df.
+    vocabulary: int | None = None
+
+    def pruned(self, docs: DataFrame) -> list[str]:
+        """The tokens of the model, most frequent first."""
+        once, zero = F.lit(1), F.lit(0)
+        every = docs.select(F.explode("words").alias("token"), once.alias("cf"), zero.alias("df"))
+        in_article = docs.select(F.explode(F.array_distinct("words")).alias("token"), zero.alias("cf"), once.alias("df"))
+        counts = every.unionByName(in_article).groupBy("token").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+        kept = counts.where((F.col("cf") >= self.min_cf) & (F.col("df") >= self.min_df)).orderBy(F.desc("cf"), "token")
+        if self.vocabulary is not None:
+            kept = kept.limit(self.vocabulary + self.remove_top)
+        return [r["token"] for r in kept.select("token").collect()][self.remove_top :]
 
     def features(self, arts: DataFrame):
-        from pyspark.ml.feature import IDF, CountVectorizer
+        from pyspark.ml.feature import IDF, CountVectorizerModel
 
         docs = arts.select("article_id", F.flatten(T.sentences(F.col("text"))).alias("words")).where(F.size("words") > 0)
-        cv = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=self.vocabulary + self.remove_top, minDF=float(self.min_df)).fit(docs)
-        words = cv.vocabulary
-        if self.remove_top:
-            # the vocabulary comes most frequent first
-            from pyspark.ml.feature import CountVectorizerModel
-
-            words = words[self.remove_top :]
-            cv = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="counts")
+        words = self.pruned(docs)
+        cv = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="counts")
         vec = cv.transform(docs).drop("words")
         if self.idf:
             return IDF(inputCol="counts", outputCol="features").fit(vec).transform(vec).drop("counts"), words
