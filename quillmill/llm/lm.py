@@ -35,13 +35,13 @@ score 0; an empty table gives an empty result; other columns are not carried.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,6 +198,7 @@ class Model:
     shift: int
     prior: np.ndarray  # prior strength by the level of the first word
     segments: DataFrame | None = None  # (seg, bits) of a filter that is too large to broadcast
+    shared: Broadcast | None = None  # this model, sent once; what looks up needs no priors
 
     @property
     def unit(self) -> float:
@@ -415,17 +416,17 @@ def _choose_priors(model: Model, rows: DataFrame) -> None:
     n, size = rows.count(), model.top + 1
     some = rows.where(fraction_hash(F.lit("prior"), F.col("t")) < F.lit(SAMPLE / max(n, SAMPLE)))
     none = F.lit(None)
-    looked = _look_up(some.select(F.monotonically_increasing_id().alias("row"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), "t"), model)
+    some = some.select(F.monotonically_increasing_id().alias("row"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size**3, np.int64)
         for b in batches:
-            code = _codes(b.column(0), b.column(1), size)
+            code = _codes(b.column(8), b.column(9), size)
             seen += np.bincount(code, minlength=size**3)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["code", "n"])
 
-    sums = looked.select("l1", "l2").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n"))
+    sums = _look_up(some, model, run, "code long, n long").groupBy("code").agg(F.sum("n"))
     times = np.zeros(size**3)
     for code, k in sums.collect():  # a row for each three levels that occur
         times[code] = k
@@ -513,27 +514,34 @@ def _mean(means: np.ndarray, lvl: np.ndarray) -> np.ndarray:
     return means[np.minimum(lvl, len(means) - 1)]
 
 
+#: What a text comes to.
 LOOKED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, words array<binary>, times array<long>, l1 binary, l2 binary"
 
 
-def _look_up(src: DataFrame, model: Model) -> DataFrame:
-    """(row, doc_id, held_out, t) as ``LOOKED``: levels of every word and bigram, counts of head words, the other words."""
+Then = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _look_up(src: DataFrame, model: Model, then: Then, schema: str) -> DataFrame:
+    """What ``then`` makes, in the same worker, of (row, doc_id, held_out, t) as ``LOOKED``.
+
+    Those are levels of every word and bigram, counts of head words, and the other words.
+    """
+    if model.shared is None:
+        model.shared = src.sparkSession.sparkContext.broadcast(replace(model, segments=None))
     if model.segments is not None:
-        return _look_up_by_join(src, model)
-    shared = src.sparkSession.sparkContext.broadcast(model)
+        return _look_up_by_join(src, model, then, schema)
+    shared = model.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(shared.value)
-        for b in batches:
-            yield s.rows(b)
+        yield from then(s.rows(b) for b in batches)
 
-    return src.mapInArrow(run, LOOKED)
+    return src.mapInArrow(run, schema)
 
 
-def _look_up_by_join(src: DataFrame, model: Model) -> DataFrame:
+def _look_up_by_join(src: DataFrame, model: Model, then: Then, schema: str) -> DataFrame:
     """The same with segments in a table: chunks of texts ask for their n-grams, parts of the filter answer."""
-    spark, segments = src.sparkSession, model.segments
-    shared = spark.sparkContext.broadcast(replace(model, segments=None))
+    segments, shared = model.segments, model.shared
     shift, top = model.shift, model.top
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -625,7 +633,7 @@ def _look_up_by_join(src: DataFrame, model: Model) -> DataFrame:
     meet = texts.select("*", F.lit(True).alias("is_text"), none.cast("binary").alias("keys"), none.cast("binary").alias("levels")).unionByName(
         answers.withColumn("is_text", F.lit(False)), allowMissingColumns=True
     )
-    return meet.repartition(tasks, "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(look, LOOKED)
+    return meet.repartition(tasks, "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(lambda batches: then(look(batches)), schema)
 
 
 def _runs(a: np.ndarray) -> list[tuple[int, int]]:
@@ -653,7 +661,7 @@ def score(docs: DataFrame, held: Column, model: Model, vocab: DataFrame, text: s
             yield pa.RecordBatch.from_arrays([*b.columns[:8], pa.array(sums, pa.float64())], names=[*b.schema.names[:8], "score"])
 
     schema = LOOKED.removesuffix(", l1 binary, l2 binary") + ", score double"
-    scored = materialise(_look_up(src, model).mapInArrow(run, schema), "lm-scored")
+    scored = materialise(_look_up(src, model, run, schema), "lm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("p")).select("row", F.col("p.words").alias("token"), F.col("p.times").alias("tf"))
     met = rare.join(vocab, "token", "left")
     term = F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(model.unit))
