@@ -19,7 +19,11 @@ ARROW_ROWS = 256
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lowers the number of rows in an Arrow batch, so long texts fit a worker."""
+    """Lowers the number of rows in an Arrow batch, so long texts fit a worker.
+
+    Spark reads the setting when a lazy result runs, so it stays lowered for
+    the session; it changes no result.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
@@ -32,10 +36,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only a session without the setting, as in tests, gets a folder of its own.
+    Only a local session without the setting, as in tests, gets a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="quillmill-")
@@ -58,6 +64,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """Inner join of many rows a key with one row a key, whatever share of the rows a key holds.
+
+    ``hot`` marks the keys of ``table`` that hold more than a fixed share of the
+    rows, so they are few and are broadcast; all others meet in a shuffle.
+    """
+    hot_keys = F.broadcast(table.where(hot).select(*keys))
+    cold = rows.join(hot_keys, keys, "left_anti").join(table.where(~hot), keys)
+    return rows.join(F.broadcast(table.where(hot)), keys).unionByName(cold)
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank give an empty array."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))

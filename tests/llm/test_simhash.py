@@ -54,10 +54,11 @@ def clusters(n, seed=1):
 def test_pivots_lose_no_pair():
     fps = np.array(sorted(set(clusters(600))), np.uint64)
     refs = S.pivots()
-    got = {tuple(sorted(p)) for i, j in S.linked_pairs(fps, None, refs) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    table = S.pivot_table(fps, refs)
+    got = {tuple(sorted(p)) for i, j in S.linked_pairs(fps, table, None, None) for p in zip(i.tolist(), j.tolist(), strict=True)}
     want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3}
     assert got == want
-    two = {tuple(p) for i, j in S.linked_pairs(fps[:200], fps[200:], refs) for p in zip(i.tolist(), (j + 200).tolist(), strict=True)}
+    two = {tuple(p) for i, j in S.linked_pairs(fps[:200], table[:, :200], fps[200:], table[:, 200:]) for p in zip(i.tolist(), (j + 200).tolist(), strict=True)}
     assert two == {(i, j) for i, j in want if i < 200 <= j}
 
 
@@ -73,18 +74,36 @@ def test_blocks_lose_no_pair():
             assert any(x & m == y & m for m in masks)
 
 
-def _components(spark, fps, **kw):
+def test_finer_blocks_lose_no_pair():
+    rnd = random.Random(5)
+    for first in S.block_plan(10):
+        masks = [first]
+        for _ in range(S.FINER):
+            x = rnd.getrandbits(64)
+            mask = rnd.choice(masks)
+            free = [i for i in range(64) if not mask >> i & 1]
+            for _ in range(100):
+                y = x
+                for b in rnd.sample(free, 3):
+                    y ^= 1 << b
+                assert any(x & m == y & m for m in S.finer(mask))
+            masks = S.finer(mask)
+
+
+def _components(spark, fps, few=S.FEW_EDGES, **kw):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(f,) for f in sorted(set(signed))], "fp long")
+    df = S.with_distances(spark.createDataFrame([(f,) for f in sorted(set(signed))], "fp long"))
     edges = S.links(df, len(set(signed)), **kw)
-    return {r.node: r.root for r in S.components(edges).collect()}, signed
+    return {r.node: r.root for r in S.components(edges, few=few).collect()}, signed
 
 
 def test_components_match_brute_force_with_small_and_tiled_blocks(spark):
     fps = clusters(500, seed=2) + [0x1234 ^ (1 << i) for i in range(40)] + [0x1234 ^ (3 << i) for i in range(40)]
+    rnd = random.Random(6)
+    fps += [0xABCD | rnd.getrandbits(24) << 16 for _ in range(60)]  # one template: a whole block and more agree
     roots = brute_roots(fps)
-    for tile in (16, 4096):
-        comp, signed = _components(spark, fps, tile=tile)
+    for tile, times, few in ((16, 0, 0), (16, 3, 10**6), (4096, 3, 10**6)):
+        comp, signed = _components(spark, fps, few, tile=tile, times=times)
         label = [comp.get(s, s) for s in signed]
         seen = {}
         for r, x in zip(roots, label, strict=True):
@@ -92,6 +111,14 @@ def test_components_match_brute_force_with_small_and_tiled_blocks(spark):
         assert len(set(seen.values())) == len(set(roots))
 
 
+def test_one_task_and_stars_find_the_same_components(spark):
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few, many = ({r.node: r.root for r in S.components(df, few=k).collect()} for k in (10**6, 0))
+    assert few == many and few[1059] == 1000
+
+
 def test_whole_operator_on_hot_groups_nulls_and_repeats(spark):
     rnd = random.Random(3)
     base = [f"w{rnd.randrange(900)}" for _ in range(200)]
@@ -99,7 +126,7 @@ def test_whole_operator_on_hot_groups_nulls_and_repeats(spark):
     rows += [(1000 + i, " ".join(base[:i] + ["zz"] + base[i + 1 :])) for i in range(150)]
     rows += [(2000 + i, " ".join(f"u{rnd.randrange(9000)}" for _ in range(60))) for i in range(100)]
     rows += [(3000, None), (3001, ""), (3002, "one"), (3002, "one"), (None, "one"), (None, "lonely words here now")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).select("doc_id", "text")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"FP": F.lit("clash"), "n": F.lit(1)})
     got = S.with_components(df).collect()
     assert len(got) == len(rows)
     fps = [brute_fp(t) for _, t in rows]
