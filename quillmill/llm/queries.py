@@ -9,6 +9,7 @@ from quillmill.llm import ann, language_id, lm, mixing, oracle, packing, quality
 from quillmill.llm.common import count_words, held_out, materialise, new_path, read_table
 
 SHARD_BYTES = 16 << 20
+SMALL_SHARD_BYTES = 256 << 10
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +70,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _shards(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    """What the written shards of the whole table hold."""
+    made = sharding.assign(read_table(spark, sf_dir, "documents"), ["doc_id"], limit)
+    path = new_path(spark, "shards")
+    sharding.write_shards(made, path)
+    return sharding.read_shards(spark, path, made).select("doc_id", "row_bytes", "shard", "depth")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    # only the text's length goes on, not the text
-    sized = docs.select("doc_id", sharding.row_bytes(F.col("text")).alias("row_bytes"))
-    return sharding.assign(sized, ["doc_id"], SHARD_BYTES, size="row_bytes").select("doc_id", "row_bytes", "shard", "depth")
+    return _shards(spark, sf_dir, SHARD_BYTES)
+
+
+def shards_of_256k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards small enough for the smallest tables to split."""
+    return _shards(spark, sf_dir, SMALL_SHARD_BYTES)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +105,12 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "llm_shards_of_256k": shards_of_256k,
 }
 
 ORACLE = {
     "op3_rule_ledger": oracle.RULE_LEDGER,
     "op7_mixing": oracle.mixed(),
     "op9_sharding": oracle.sharding(SHARD_BYTES),
+    "llm_shards_of_256k": oracle.sharding(SMALL_SHARD_BYTES),
 }

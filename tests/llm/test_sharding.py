@@ -42,6 +42,35 @@ def test_rows_of_one_key_overflow_and_still_fit(spark):
     out = S.assign(df, ["doc_id"], 2_000)
     assert out.count() == 900
     assert out.groupBy("shard").agg(F.sum("row_bytes").alias("b")).agg(F.max("b")).first()[0] <= 2_000
+    # 50,000 bytes of one key in pages of up to 2,000: a page is full but for its last row
+    assert out.where("doc_id = 7").select("shard").distinct().count() <= 28
+
+
+def test_pages_follow_the_contents_not_the_splits(spark):
+    rows = [(7, "t" * (i % 90), i % 3) for i in range(400)] + [(7, "w" * n, 0) for n in (900, 1500, 900, 990, 5000)] + [(i, "o", 1) for i in range(50)]
+    named = []
+    for n in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(n)
+        out = S.assign(df, ["doc_id"], 1_000)
+        named.append(sorted(map(repr, out.select("doc_id", "text", "k", "shard", "row_bytes").collect())))
+        worst = out.groupBy("shard").agg(F.sum("row_bytes").alias("b"), F.count("*").alias("n")).where("b > 1000")
+        assert {r.n for r in worst.collect()} == {1}  # a row over the limit is alone
+    assert named[0] == named[1] and len(named[0]) == len(rows)
+
+
+def test_a_directory_too_large_to_broadcast_gives_the_same_shards(spark):
+    rows = [(i, "t" * (i % 200)) for i in range(3000)] + [(5, "again" * 20)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small, large = (sorted(map(repr, S.assign(df, ["doc_id"], 400, most_cells=k).collect())) for k in (10**6, 0))
+    assert small == large and len(small) == len(rows)
+
+
+def test_more_than_two_hundred_thousand_shards_with_a_repeated_id(spark):
+    ids = F.when(F.col("id") < 10, 3).otherwise(F.col("id"))
+    df = spark.range(260_000).select(ids.alias("doc_id"), F.lit(100).cast("long").alias("size"))
+    out = S.assign(df, ["doc_id"], 150, size="size")
+    n, most, rows = out.groupBy("shard").agg(F.sum("row_bytes").alias("b"), F.count("*").alias("n")).agg(F.count("*"), F.max("b"), F.sum("n")).first()
+    assert rows == 260_000 and most <= 150 and n > 200_000
 
 
 def test_nulls_long_rows_empty_tables_and_clashing_names(spark):
@@ -55,5 +84,8 @@ def test_nulls_long_rows_empty_tables_and_clashing_names(spark):
 
 def test_written_shards_hold_every_row(spark, tmp_path):
     df = spark.createDataFrame([(i, "t" * i) for i in range(50)], "doc_id long, text string")
-    S.write_shards(S.assign(df, ["doc_id"], 500), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 50
+    df = df.unionByName(spark.createDataFrame([(3, "s" * 90), (3, None)] * 20, "doc_id long, text string"))
+    made = S.assign(df, ["doc_id"], 500)
+    S.write_shards(made, str(tmp_path / "s"))
+    back = S.read_shards(spark, str(tmp_path / "s"), made)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, made.collect())) and back.count() == 90
