@@ -2,12 +2,14 @@
 
 The tokenizers library gives every id. A text is cut at spaces where a cut
 can't change the ids, each distinct piece is encoded once by a worker and its
-ids are kept; texts in which such a cut isn't sure are encoded whole.
+ids are kept; texts in which such a cut isn't sure are encoded whole. So are
+texts that hold the string of an added token, which has an id of its own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 from array import array
 
@@ -59,7 +61,9 @@ class PieceEncoder:
 
             path = public_tokenizers.path(name)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        # in any case: lower-casing a text must not make one
+        self.added = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.model = self.tok.model
         self.spaced, self.kept = spaced, kept
         marks = [bytes([m]) for m in MARKS]
@@ -125,16 +129,17 @@ class PieceEncoder:
         if len(self.first) + len(self.rest) > self.kept:
             self.first.clear()
             self.rest.clear()
-        cut = [self._plain(t).split(b" ") if t else [] for t in texts]
+        has = self.added.search if self.added else lambda t: None
+        cut = [(self._plain(t).split(b" ") if not has(t) else None) if t else [] for t in texts]
         if self.spaced:
             self._learn(self.first, {p[0] for p in cut if p}, "")
-            self._learn(self.rest, set().union(*[p[1:] for p in cut]) if cut else set(), " ")
+            self._learn(self.rest, set().union(*[p[1:] for p in cut if p]), " ")
         else:
-            self._learn(self.rest, set().union(*cut) if cut else set(), "")
+            self._learn(self.rest, set().union(*[p for p in cut if p]), "")
         out, get = [], self.rest.__getitem__
         for text, pieces in zip(texts, cut, strict=True):
             if not pieces:
-                out.append(b"")
+                out.append(b"" if pieces is not None else self.whole([text.decode("utf-8", "replace")])[0])
                 continue
             try:
                 if self.spaced:

@@ -11,14 +11,13 @@ from quillmill.llm.tokens import PieceEncoder
 
 TEXTS = [
     "", " ", "a", " a", "a ", "  two  spaces  ", "line\nbreak \n mixed\n\n", "it's we're I'LL 'tis don''t", "x y  z　w", "\ta\tb", "é e ́x",
-    "<|endoftext|> a <|startoftext|>", "Straße ÉCOLE ΣΑΣ İx", "12 345,67 $5 #x", "word " * 300, "a\x1cb \x1c c", "日本語 テキスト", "🙂 🙂🙂", "J\u030c H\u0331 T\u0308 A\u030a j\u030c", "WORD, Word. wOrd! word.. É, ÿ? 1, x1.", "'s 's s' 't", "x" * 3000, "a\r\nb",
+    "<|endoftext|> a <|startoftext|>", "a b<|endoftext|>c d", "<|ENDOFTEXT|> x <|endoftext", "x <|startoftext|>Y", "Straße ÉCOLE ΣΑΣ İx", "12 345,67 $5 #x", "word " * 300, "a\x1cb \x1c c", "日本語 テキスト", "🙂 🙂🙂", "J\u030c H\u0331 T\u0308 A\u030a j\u030c", "WORD, Word. wOrd! word.. É, ÿ? 1, x1.", "'s 's s' 't", "x" * 3000, "a\r\nb",
 ]
 
 
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_pieces_give_the_ids_of_whole_texts(name, spaced):
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
     enc = PieceEncoder(name, spaced, kept=50)
     rng = np.random.default_rng(0)
     mixed = ["".join(rng.choice(list("ab '.,\n\t ñ1🙂 -"), 40)) for _ in range(300)]
@@ -39,7 +38,6 @@ def test_orc_round_trip(spark, tmp_path):
     path = str(tmp_path / "orc")
     token_files.write(df, path, "word_bpe_49k.json", 1, False)
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     want = sorted((d is not None, d, [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for d, t in rows if d is not None)
     files = token_files.read(spark, path).orderBy("part", "seq").collect()
     ids = [r.doc_id for r in files]
@@ -86,7 +84,6 @@ def test_pieces_and_packs_of_documents(spark):
     parts = packing.pieces(df, "byte_bpe_50k.json", 0, True, capacity=64, with_ids=True)
     got = packing.pack(parts, capacity=64, group=30).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     total = 0
     wanted = []
     for d, t in rows:
