@@ -6,14 +6,15 @@ piece that fits its gap. If a gap is left, the bin's smallest piece is taken
 out again and two unpacked pieces that fill the wider gap more tightly take its
 place, for as long as that gains.
 
-Pieces are dealt round-robin into groups of ``GROUP`` and each group is packed
-by itself: every group but for its last bins is as tight as one packing of all,
-and no task holds more than a group. Lengths are few, so a packing works on
-counts by length.
+Pieces are dealt round-robin into groups of ``GROUP_TOKENS`` and each group is
+packed by itself: every group but for its last bins is as tight as one packing
+of all, and no task holds more than a group. Lengths are few, so a packing works
+on counts by length. The task that packs a group puts its sequences together, so
+ids are shuffled once.
 
 Defined results: a null or empty text is its end id alone, a piece of length
-1; repeated rows are packed one by one; an empty table gives no pieces; other
-columns of the input are not carried.
+1; repeated rows are packed one by one; an empty table gives no pieces and no
+sequences; other columns of the input are not carried.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ from quillmill.llm.common import materialise, small_batches
 from quillmill.llm.tokens import encoder
 
 CAPACITY = 2048
-GROUP = 1 << 16
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Tokens that one task packs: 64 MB of ids.
+GROUP_TOKENS = 1 << 24
+PIECE = "doc_id long, piece int, start long, length long, ids binary"
+SEQUENCE = "sequence_id long, ids array<int>, doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<long>"
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def cut(n: int, capacity: int) -> list[int]:
@@ -42,10 +46,8 @@ def cut(n: int, capacity: int) -> list[int]:
     return ([first] if first else []) + [capacity] * (n // capacity)
 
 
-def pieces(
-    docs: DataFrame, tokenizer: str, end_id: int, spaced: bool, capacity: int = CAPACITY, text: str = "text", with_ids: bool = False
-) -> DataFrame:
-    """One row per piece; ``with_ids`` adds its ids as little-endian unsigned 32-bit integers."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
+    """One row per piece, with its ids as little-endian unsigned 32-bit integers."""
     small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_t"))
 
@@ -56,16 +58,14 @@ def pieces(
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or b"" for t in b.column(1).to_pylist()]), strict=True):
                 ids, at = ids + end, 0
                 for k, n in enumerate(cut(len(ids) // 4, capacity)):
-                    part = ids[4 * at : 4 * (at + n)]
-                    rows.append((doc, k, at, n, zlib.crc32(part), part))
+                    rows.append((doc, k, at, n, ids[4 * at : 4 * (at + n)]))
                     at += n
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names=names[: 5 + with_ids])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids"])
 
-    return src.mapInArrow(run, PIECE + ", ids binary" * with_ids)
+    return src.mapInArrow(run, PIECE)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,29 +135,57 @@ def _tightest_pair(mask: int, left: list[int], room: int, least: int) -> list[in
     return found
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``."""
+def pack(parts: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """The sequences: their ids, and of each piece in them, in order, its document, number, start and length."""
     parts = materialise(parts, "pieces")
-    groups = max(1, ceil(parts.count() / group))
-    at = parts.columns.index("length")
+    groups = max(1, ceil((parts.agg(F.sum("length")).first()[0] or 0) / group_tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        bins, offset = best_two_fit(rows.column(at).to_numpy(), capacity)
-        first = TaskContext.get().partitionId() << 32
-        rows = rows.append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offset))
-        yield from rows.to_batches(max_chunksize=10_000)
-
-    schema = parts.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return parts.repartition(groups).mapInArrow(run, schema)
-
-
-def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids): the packed token ids, of pieces that carry theirs."""
-    both = F.sort_array(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(both.alias("_p")).select(
-        "sequence_id", F.aggregate("_p", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids")
-    )
+        rows = pa.Table.from_batches(held)
+        bins, offset = best_two_fit(rows.column("length").to_numpy(), capacity)
+        order = np.lexsort((offset, bins))
+        bins = bins[order]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(bins)) + 1, [len(bins)]])
+        number = TaskContext.get().partitionId() << 32
+        for at in range(0, len(first) - 1, 1000):
+            ends = first[at : at + 1001]
+            own = rows.take(pa.array(order[ends[0] : ends[-1]])).combine_chunks()
+            ids = np.frombuffer(b"".join(own.column("ids").to_pylist()), "<i4")
+            sizes = own.column("length").to_numpy()
+            place = pa.array((ends - ends[0]).astype(np.int32))
+            token = pa.array(np.concatenate([[0], np.cumsum(sizes)])[ends - ends[0]].astype(np.int32))
+            lists = [own.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "length")]
+            cols = [pa.array(bins[ends[:-1]] + number), pa.ListArray.from_arrays(token, pa.array(ids))]
+            cols += [pa.ListArray.from_arrays(place, c) for c in lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["sequence_id", "ids", "doc_ids", "pieces", "starts", "lengths"])
+
+    return parts.repartition(groups).mapInArrow(run, SEQUENCE)
+
+
+def digest(sequences: DataFrame) -> DataFrame:
+    """One row per piece of the sequences: ``PLACED``, the crc32 from the ids that are there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False), "<u4")
+            docs, number, start, length = (b.column(k).flatten() for k in range(2, 6))
+            sizes = length.to_numpy()
+            end = np.cumsum(sizes)
+            at = end - sizes
+            view = memoryview(values).cast("B")
+            crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(at.tolist(), end.tolist(), strict=True)]
+            per = np.diff(b.column(5).offsets.to_numpy())
+            tokens = np.diff(b.column(1).offsets.to_numpy())
+            cols = [
+                docs, number, start, length, pa.array(crc, pa.int64()), pa.array(np.repeat(b.column(0).to_numpy(), per)),
+                pa.array(at - np.repeat(np.cumsum(tokens) - tokens, per)),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, schema=placed)
+
+    placed = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")])
+    return sequences.mapInArrow(run, PLACED)

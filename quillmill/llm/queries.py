@@ -42,7 +42,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(packing.pieces(docs, "byte_bpe_50k.json", end_id=0, spaced=True))
+    made = packing.pack(packing.pieces(docs, "byte_bpe_50k.json", end_id=0, spaced=True))
+    return packing.digest(materialise(made, "sequences"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Pipeline stages: (spark, docs, sf_dir) -> the documents that go on."""
+"""Pipeline stages: (spark, docs, sf_dir) -> the documents that go on.
+
+Defined results of every stage: an empty table gives an empty one; repeated
+rows are judged alike and each counts; other columns are carried, whatever their
+names, up to the last stage. A null or empty text goes at the language stage.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,10 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter and texts of no sure language go."""
+    """Texts without a letter, null ones among them, and texts of no sure language go.
+
+    Without any labelled training row no language is known, and all go.
+    """
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"), 5, 0)))
     judged = _judged(docs, lambda d: language_id.predict(d, model, carry_text=True))
     sure = (F.col("_j.lang_pred") != language_id.UND) & (F.col("_j.score") >= LEAST_LANGUAGE_SCORE)
@@ -21,7 +29,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose quality score is under the threshold go."""
+    """Texts whose quality score is under the threshold go.
+
+    A null or empty text is scored as the empty one; without a trusted positive
+    every score is the prior.
+    """
     train = ~held_out(F.col("doc_id"), 4, 2)
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.fit(docs.where(train), labels.where(train))
@@ -38,15 +50,26 @@ def _judged(docs: DataFrame, predict) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest id."""
+    """One document of each SimHash component stays: the one with the smallest id.
+
+    Null and empty texts have fingerprint zero and are one component; of rows
+    without an id one stays where no row with an id is in the component.
+    """
     return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as systematic sampling takes it."""
+    """Each document as often as systematic sampling takes it.
+
+    A null source is a source of its own; a text without a word has no words to
+    take, its copies cost nothing.
+    """
     return mixing.emit(mixing.mix(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: one row per piece."""
+    """Sequences of at most 2048 token ids, one row each, with the documents that are in them.
+
+    A null or empty text is its end id alone.
+    """
     return packing.pack(packing.pieces(docs, "byte_bpe_50k.json", end_id=0, spaced=True))

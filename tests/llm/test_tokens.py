@@ -81,8 +81,10 @@ def test_best_two_fit_packs_tightly():
 
 def test_pieces_and_packs_of_documents(spark):
     rows, df = _docs(spark)
-    parts = packing.pieces(df, "byte_bpe_50k.json", 0, True, capacity=64, with_ids=True)
-    got = packing.pack(parts, capacity=64, group=30).collect()
+    parts = packing.pieces(df, "byte_bpe_50k.json", 0, True, capacity=64)
+    seqs = packing.pack(parts, capacity=64, group_tokens=2000)
+    seqs = spark.createDataFrame(seqs.collect(), seqs.schema)
+    got = packing.digest(seqs).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     total = 0
     wanted = []
@@ -102,10 +104,18 @@ def test_pieces_and_packs_of_documents(spark):
         assert [r.offset for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
         assert sum(r.length for r in own) <= 64
     assert len(by) <= total / 64 * 1.2 + 8
-    seqs = packing.sequences(spark.createDataFrame(got)).collect()
-    assert sum(len(s.ids) for s in seqs) == 4 * total
+    whole = {(str(d), t): [*tok.encode(t or "", add_special_tokens=False).ids, 0] for d, t in rows}
+    assert sum(len(s.ids) for s in seqs.collect()) == total
+    for s in seqs.collect():
+        at = 0
+        for doc, start, n in zip(s.doc_ids, s.starts, s.lengths, strict=True):
+            part = s.ids[at : at + n]
+            assert any(part == ids[start : start + n] for (d, _), ids in whole.items() if d == str(doc))
+            at += n
+        assert at == len(s.ids)
 
 
 def test_packing_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert packing.pack(packing.pieces(empty, "byte_bpe_50k.json", 0, True)).count() == 0
+    made = packing.pack(packing.pieces(empty, "byte_bpe_50k.json", 0, True))
+    assert made.count() == 0 and packing.digest(made).count() == 0
