@@ -10,9 +10,16 @@ of candidates; leaf sizes are known from counting the whole index. Candidates
 are then scored exactly, on the original vectors.
 
 Equal vectors are one entry with their smallest ids: more than ``k + 1`` equal
-ones can't be told apart by any result. Leaves are dealt to groups; a task
-holds one group of leaves and one block of queries, multiplies leaf by leaf and
-returns each query's best few, so neither pairs nor a hot leaf pile up.
+ones can't be told apart by any result. Leaves are dealt to groups of at most
+about ``INDEX_BYTES``; a leaf over that is split over several. A task holds one
+group of leaves at a time, the queries that ask it stream past, and each query's
+best few go on, so neither pairs nor a hot leaf pile up and the index travels
+once. Products are computed by the block; whatever could be among the best
+within rounding is then summed exactly, so ties go to smaller ids.
+
+The budget is a share of the index, so a query's work grows with it, and the
+work of all queries with its square: that is what recall 0.9 takes on vectors
+without structure (``share`` can be far smaller on others).
 
 Defined results: vectors that are null, zero, of another size than most, or
 hold a null or non-finite component take no part, nor do rows without an id;
@@ -36,21 +43,21 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import fraction_hash, materialise
 
 TREES = 4
-#: Bound on the vectors that the trees are fitted on.
+#: Bounds on the vectors that the trees are fitted on.
 SAMPLE = 1 << 16
+SAMPLE_BYTES = 64 << 20
 LEAVES = (256, 8192)
 #: Rows of the index that a leaf should hold, while the sample allows it.
 LEAF_ROWS = 200
 #: Candidates of a query, as a share of the index, counted once per tree.
 SHARE = 1.1
-#: A query looks at this many vectors of each tree at least, or at all.
-LEAST = 1000
 SALTS = 32
-#: Groups of leaves at least.
+#: Groups of leaves at least, and the vectors' bytes in one.
 GROUPS = 12
-QUERY_BLOCK = 20_000
-INDEX_BLOCK = 100_000
-SPARE = 8
+INDEX_BYTES = 32 << 20
+#: Products computed at once, and candidates kept before they are reduced.
+BLOCK = 1 << 22
+HELD = 1 << 21
 
 
 @dataclass
@@ -192,6 +199,7 @@ def search(
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in _matrix(b.column(1))], pa.binary())], names=["cid", "v"])
 
+    sample = max(1, min(sample, SAMPLE_BYTES // (8 * dims["d"])))
     picked = cls.where(fraction_hash(F.lit(seed), F.col("cid")) < F.lit(sample / max(n, sample))).select("cid", "vec")
     got = sorted((r["cid"], bytes(r["v"])) for r in picked.mapInArrow(packed, "cid long, v binary").toLocalIterator())
     x = np.frombuffer(b"".join(g[1] for g in got), np.float64).reshape(-1, dims["d"])
@@ -216,53 +224,73 @@ def search(
     for leaf, m in counted.collect():  # at most one row a leaf of the model
         sizes[leaf] = m
     # the number follows the index alone: each group returns a few rows for every query
-    groups = max(GROUPS, ceil(n * trees / INDEX_BLOCK))
-    group_of = np.random.default_rng(seed).integers(0, groups, len(sizes))
-    budget = max(share * n, float(LEAST * trees))
-    n_queries = owners.select("cid").distinct().count()
-    blocks = max(1, ceil(n_queries / QUERY_BLOCK))
-    shared = spark.sparkContext.broadcast((sizes, group_of))
+    block = max(1, INDEX_BYTES // (8 * dims["d"]))
+    groups = max(GROUPS, ceil(n * trees / block))
+    first, split = np.random.default_rng(seed).integers(0, groups, len(sizes)), np.maximum(1, -(-sizes // block))
+    heavy = np.flatnonzero(split > 1)
+    first[heavy] = groups + np.cumsum(split[heavy]) - split[heavy]  # each part of a heavy leaf is a group
+    groups += int(split[heavy].sum())
+    # k + 1 distinct candidates at least, however small the table: each is in every tree once
+    budget = max(share * n, float(trees * (k + 1)))
+    shared = spark.sparkContext.broadcast((sizes, first, split))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, (_, group) = model.value, shared.value
+        f, (_, group, parts) = model.value, shared.value
         for b in batches:
             if not b.num_rows:
                 continue
             at = f.route(_matrix(b.column(0)))
-            rows_of = pa.array(np.repeat(np.arange(b.num_rows), at.shape[1]))
+            rows_of = np.repeat(np.arange(b.num_rows), at.shape[1])
             flat = at.ravel()
-            for block in range(blocks):
-                cols = [pa.array(group[flat]), pa.array(np.full(len(flat), block)), pa.array(flat), b.column(0).take(rows_of), b.column(1).take(rows_of)]
-                yield pa.RecordBatch.from_arrays(cols, names=["g", "b", "leaf", "vec", "ids"])
+            lows = np.array([i[0] for i in b.column(1).to_pylist()], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            part = ((lows >> np.uint64(32))[rows_of] % parts[flat].astype(np.uint64)).astype(np.int64)
+            cols = [pa.array(group[flat] + part), pa.array(flat), b.column(0).take(pa.array(rows_of)), b.column(1).take(pa.array(rows_of))]
+            yield pa.RecordBatch.from_arrays(cols, names=["g", "leaf", "vec", "ids"])
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, (count, group) = model.value, shared.value
+        f, (count, group, parts) = model.value, shared.value
         for b in batches:
             out: list[tuple] = []
             for row, (cid, q) in enumerate(zip(b.column(0).to_pylist(), _matrix(b.column(1)), strict=True)):
                 by: dict[int, list[int]] = {}
                 for leaf in f.search(q, count, budget):
-                    by.setdefault(int(group[leaf]), []).append(leaf)
-                out += [(g, cid % blocks, cid, row, ls) for g, ls in by.items()]
+                    for part in range(int(parts[leaf])):
+                        by.setdefault(int(group[leaf]) + part, []).append(leaf)
+                out += [(g, cid, row, ls) for g, ls in by.items()]
             if out:
-                g, blk, cid, row, ls = zip(*out, strict=True)
-                cols = [pa.array(g, pa.int64()), pa.array(blk, pa.int64()), pa.array(cid, pa.int64()), b.column(1).take(pa.array(row)), pa.array(ls, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["g", "b", "cid", "vec", "leaves"])
+                g, cid, row, ls = zip(*out, strict=True)
+                cols = [pa.array(g, pa.int64()), pa.array(cid, pa.int64()), b.column(1).take(pa.array(row)), pa.array(ls, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["g", "cid", "vec", "leaves"])
 
-    idx = cls.select("vec", "ids").mapInArrow(index, "g long, b long, leaf long, vec array<double>, ids array<long>")
+    idx = cls.select("vec", "ids").mapInArrow(index, "g long, leaf long, vec array<double>, ids array<long>")
     asked = cls.join(owners.select("cid").distinct(), "cid", "left_semi").select("cid", "vec")
     asked = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cid")
-    ask = asked.mapInArrow(probes, "g long, b long, cid long, vec array<double>, leaves array<long>")
-
-    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["cid", "vec_id", "score"]
-        kinds = [pa.int64(), pa.int64(), pa.float64()]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        q, c = _matrix(left.column("vec").combine_chunks()), _matrix(right.column("vec").combine_chunks())
-        return pa.table([pa.array(a, t) for a, t in zip(_best(left, right, q, c, k), kinds, strict=True)], names=names)
+    ask = asked.mapInArrow(probes, "g long, cid long, vec array<double>, leaves array<long>")
 
-    found = ask.groupBy("g", "b").cogroup(idx.groupBy("g", "b")).applyInArrow(rerank, "cid long, vec_id long, score double")
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready = None, [], None
+        for b in batches:
+            g, ask = b.column(0).to_numpy(), b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cut = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]) | (ask[1:] != ask[:-1])) + 1, [len(g)]]).tolist()
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                if x == y:
+                    continue
+                if g[x] != now:
+                    now, held, ready = g[x], [], None
+                part = b.slice(x, y - x)
+                if not ask[x]:  # a group's leaves come before what asks them
+                    held.append(part)
+                    continue
+                if ready is None:
+                    ready = Group(pa.Table.from_batches(held)) if held else None
+                    held = []
+                if ready is not None:
+                    yield ready.best(part, k)
+
+    none = F.lit(None)
+    both = idx.withColumns({"cid": none.cast("long"), "leaves": none.cast("array<long>")}).unionByName(ask, allowMissingColumns=True)
+    dealt = both.select("g", "cid", "leaf", "vec", "ids", "leaves").repartition(groups, "g").sortWithinPartitions("g", "cid")  # nulls come first
+    found = dealt.mapInArrow(rerank, "cid long, vec_id long, score double")
     best = found.groupBy("cid").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("best"))
     own = owners.join(best, "cid").select("query_id", F.filter("best", lambda x: x["vec_id"] != F.col("query_id")).alias("best"))
     return own.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("pos", "hit")).select(
@@ -270,45 +298,82 @@ def search(
     )
 
 
-def _best(left: pa.Table, right: pa.Table, q: np.ndarray, c: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Each query's k + 1 best ids of the leaves it asked for, scored exactly."""
-    leaf = right.column("leaf").to_numpy()
-    order = np.argsort(leaf, kind="stable")
-    cuts = np.flatnonzero(np.diff(leaf[order])) + 1
-    rows_of = {int(leaf[r[0]]): r for r in np.split(order, cuts)}
-    asks: dict[int, list[int]] = {}
-    for i, ls in enumerate(left.column("leaves").to_pylist()):
-        for x in ls:
-            asks.setdefault(x, []).append(i)
-    m = k + 1 + SPARE
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for x, who in asks.items():
-        rows = rows_of.get(x)
-        if rows is None:
-            continue
-        for at in range(0, len(who), 1024):
-            qs = np.array(who[at : at + 1024])
-            s = q[qs] @ c[rows].T
-            top = np.argpartition(-s, m, axis=1)[:, :m] if s.shape[1] > m else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            held.append((np.repeat(qs, top.shape[1]), rows[top].ravel(), np.take_along_axis(s, top, axis=1).ravel()))
-    ids = right.column("ids").to_pylist()
-    cids = left.column("cid").to_pylist()
-    out: tuple[list, list, list] = ([], [], [])
-    if not held:
-        return out
-    qi, ci, s = (np.concatenate(a) for a in zip(*held, strict=True))
-    order = np.lexsort((-s, qi))
-    qi, ci = qi[order], ci[order]
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(qi)) + 1, [len(qi)]])
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        i = int(qi[a])
-        seen: dict[int, int] = {}
-        for r in ci[a:b].tolist():  # the same vector comes from several trees
-            seen.setdefault(ids[r][0], r)
-            if len(seen) == m:
-                break
-        exact = sorted((-fsum((q[i] * c[r]).tolist()), x) for r in seen.values() for x in ids[r])[: k + 1]
-        out[0].extend([cids[i]] * len(exact))
-        out[1].extend(x for _, x in exact)
-        out[2].extend(-s_ for s_, _ in exact)
-    return out
+class Group:
+    """A group of leaves, ready for queries."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        rows = rows.combine_chunks()
+        self.c = _matrix(rows.column("vec").combine_chunks())
+        self.ids = rows.column("ids").to_pylist()
+        lows = np.array([i[0] for i in self.ids], np.int64)
+        # the same vector comes from several trees: it has one number
+        self.cls = np.unique(lows, return_inverse=True)[1]
+        leaf = rows.column("leaf").to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        self.rows_of = {int(leaf[r[0]]): r for r in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1)}
+        self.longest = float(np.sqrt((self.c * self.c).sum(axis=1).max()))
+
+    def best(self, asks: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """Each query's k + 1 best ids of the leaves it asks for, scored exactly."""
+        q, leaves = _matrix(asks.column(3)), asks.column(5).to_pylist()
+        # twice what rounding can do to a product
+        slack = np.sqrt((q * q).sum(axis=1)) * self.longest * (q.shape[1] + 2) * 2.0**-51
+        by: dict[int, list[int]] = {}
+        for i, ls in enumerate(leaves):
+            for x in ls:
+                by.setdefault(x, []).append(i)
+        held, size = [], 0
+        for x, who in by.items():
+            rows = self.rows_of.get(x)
+            if rows is None:
+                continue
+            step = max(1, BLOCK // len(rows))
+            for at in range(0, len(who), step):
+                qs = np.array(who[at : at + step])
+                s = q[qs] @ self.c[rows].T
+                if s.shape[1] > k + 1:
+                    least = -np.partition(-s, k, axis=1)[:, k]
+                    i, j = np.nonzero(s >= (least - slack[qs])[:, None])
+                    held.append((qs[i], rows[j], s[i, j]))
+                else:
+                    held.append((np.repeat(qs, s.shape[1]), np.tile(rows, len(qs)), s.ravel()))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [self.reduce(q, held, slack, k)]
+                    size = len(held[0][0])
+        if not held:
+            held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        qi, ci, s = self.reduce(q, held, slack, k)
+        cids = asks.column(1).to_numpy()
+        out: tuple[list, list, list] = ([], [], [])
+        start = np.concatenate([[0], np.flatnonzero(np.diff(qi)) + 1, [len(qi)]]).tolist() if len(qi) else [0]
+        for a, b in zip(start[:-1], start[1:], strict=True):
+            hits = sorted((-x, i) for x, r in zip(s[a:b].tolist(), ci[a:b].tolist(), strict=True) for i in self.ids[r])[: k + 1]
+            out[0].extend([cids[qi[a]]] * len(hits))
+            out[1].extend(i for _, i in hits)
+            out[2].extend(-x for x, _ in hits)
+        kinds = [pa.int64(), pa.int64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(out, kinds, strict=True)], names=["cid", "vec_id", "score"])
+
+    def reduce(self, q: np.ndarray, held: list[tuple], slack: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, exact product) of each query's k + 1 best vectors, by exact product, then smallest id."""
+        qi, ci, s = (np.concatenate(a) for a in zip(*held, strict=True))
+        if not len(qi):
+            return qi, ci, s
+        pair = qi * (int(self.cls.max()) + 1) + self.cls[ci]
+        one = np.unique(pair, return_index=True)[1]
+        qi, ci, s = qi[one], ci[one], s[one]
+        order = np.lexsort((-s, qi))
+        qi, ci, s = qi[order], ci[order], s[order]
+        start = np.concatenate([[0], np.flatnonzero(np.diff(qi)) + 1])
+        size = np.diff(np.concatenate([start, [len(qi)]]))
+        least = s[start + np.minimum(size - 1, k)]
+        near = s >= np.repeat(least, size) - slack[qi]
+        qi, ci = qi[near], ci[near]
+        s = np.array([fsum(x) + 0.0 for at in range(0, len(qi), 1 << 14) for x in (q[qi[at : at + (1 << 14)]] * self.c[ci[at : at + (1 << 14)]]).tolist()])
+        order = np.lexsort((self.cls[ci], -s, qi))
+        qi, ci, s = qi[order], ci[order], s[order]
+        start = np.concatenate([[0], np.flatnonzero(np.diff(qi)) + 1])
+        size = np.diff(np.concatenate([start, [len(qi)]]))
+        few = np.arange(len(qi)) - np.repeat(start, size) <= k
+        return qi[few], ci[few], s[few]

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillmill.llm import ann
@@ -58,6 +59,30 @@ def test_recall_of_the_default_budget(spark):
     assert len(got) == 200 and hits / (200 * 20) >= 0.9
 
 
+def test_ties_go_to_smaller_ids_at_the_cut(spark):
+    """3,000 different vectors with the same inner product with the query; half of it again in one leaf of a small forest."""
+    rng = np.random.default_rng(7)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0], 0)]
+    ids = rng.permutation(np.arange(1, 20_000)[np.arange(1, 20_000) % 20 != 0])[:3000]
+    rows += [(int(i), [0.1, *map(float, rng.normal(size=3).astype(np.float32))], 0) for i in ids]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = ann.search(df, F.col("vec_id") % 20 == 0, share=1e9).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == sorted(ids.tolist())[:20]
+    assert {r.score for r in got} == {float(np.float32(0.1))}
+
+
+def test_split_leaves_and_reduced_candidates_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(data(), SCHEMA)
+    want = sorted(map(repr, ann.search(df, F.col("vec_id") % 20 == 0, share=0.5).collect()))
+    monkeypatch.setattr(ann, "INDEX_BYTES", 2048)  # 32 vectors a group
+    assert sorted(map(repr, ann.search(df, F.col("vec_id") % 20 == 0, share=0.5).collect())) == want
+    group = ann.Group(pa.table({"vec": [[float(i % 7), 1.0] for i in range(200)], "ids": [[i] for i in range(200)], "leaf": [i % 5 for i in range(200)]}))
+    asks = pa.record_batch({"g": [0], "cid": [9], "leaf": [None], "vec": [[1.0, 0.0]], "ids": [None], "leaves": [[0, 1, 2, 3, 4]]})
+    whole = group.best(asks, 20).to_pydict()
+    monkeypatch.setattr(ann, "HELD", 1)
+    assert group.best(asks, 20).to_pydict() == whole and whole["vec_id"] == [i for i in range(200) if i % 7 == 6][:21]
+
+
 def test_few_candidates_and_empty_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0), (20, [0.0, 2.0], 0), (3, [1.0, 1.0], 0)], SCHEMA)
     rows = ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
