@@ -64,6 +64,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The text as bytes, then the columns that go on, for a Python worker.
+
+    Bytes, because a string column may hold what isn't UTF-8.
+    """
+    return docs.select(F.col(text).cast("binary").alias(fresh("text", keep)), *keep)
+
+
 def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column) -> DataFrame:
     """Inner join of many rows a key with one row a key, whatever share of the rows a key holds.
 

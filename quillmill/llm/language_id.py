@@ -8,19 +8,20 @@ temperature.
 An n-gram is hashed to one of ``BUCKETS`` features; TF is its share of the
 text's n-grams and IDF comes from document frequencies over all training texts
 (one pass, a dense vector per partition). The weights are fitted on a bounded
-sample: up to ``PER_CLASS`` training documents of each language, those with the
-smallest hash of id and text, of which a fifth serves the calibration only.
+sample: up to ``PER_CLASS`` training documents of each language and ``SAMPLE`` in
+all, those with the smallest hash of id and text, of which a fifth serves the
+calibration only.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
-without any training row every text is ``und``; rows with a null lang are
-predicted but not learned from; repeated rows are predicted one by one; an
+bytes that aren't UTF-8 are read as replacement characters; without any
+training row every text is ``und``; rows with a null lang are predicted but not
+learned from; more than ``MOST_LABELS`` languages are an error; repeated rows are predicted one by one; an
 empty table gives an empty result; columns that clash with an output are
 replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,19 +30,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import fraction_hash, small_batches
+from quillmill.llm.common import carried, fraction_hash, small_batches
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Bound on the labelled documents of one language that the weights are fitted on.
+#: Bounds on the labelled documents that the weights are fitted on: of one language, and of all.
 PER_CLASS = 1000
+SAMPLE = 100_000
+#: Languages that one model can tell apart; its weights are features x languages in memory.
+MOST_LABELS = 400
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 #: Characters hashed at once; bounds the memory of a very long text.
 CHUNK = 1 << 20
 
 
+def read(text: bytes | None) -> str:
+    return (text or b"").decode("utf-8", "replace")
+
+
 def grams(text: str) -> Iterator[np.ndarray]:
     """Feature numbers of a text's character n-grams, in chunks of whole n-grams."""
     width = max(ORDERS)
@@ -80,14 +87,14 @@ def document_frequency(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
             for t in b.column(0).to_pylist():
                 n += 1
                 seen = np.zeros(BUCKETS, bool)
-                for g in grams(t or ""):
+                for g in grams(read(t)):
                     seen[g] = True
                 df += seen
         slot = [*range(0, BUCKETS, 4096), -1]
         part = [df[s : s + 4096].tolist() if s >= 0 else [n] for s in slot]
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(part, pa.list_(pa.int64()))], names=["slot", "part"])
 
-    parts = texts.select(text).mapInArrow(run, "slot int, part array<long>")
+    parts = texts.select(F.col(text).cast("binary")).mapInArrow(run, "slot int, part array<long>")
     summed = (
         parts.select("slot", F.posexplode("part").alias("i", "n")).groupBy("slot", "i").agg(F.sum("n").alias("n")).where("n > 0")
     )
@@ -98,13 +105,15 @@ def document_frequency(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return df, int(got.loc[got["slot"] < 0, "n"].sum())
 
 
-def sample(train: DataFrame, label: str, key: Column, per_class: int) -> DataFrame:
-    """At most about ``per_class`` rows of each label, by a threshold on their hash."""
-    sizes = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
-    keep = F.lit(False)
-    for k, n in sizes.items():
-        keep = keep | ((F.col(label) == F.lit(k)) & (key < F.lit(per_class / max(n, per_class))))
-    return train.where(keep)
+def sample(train: DataFrame, label: str, key: Column, per_class: int, most: int = SAMPLE) -> DataFrame:
+    """At most about ``per_class`` rows of each label and ``most`` of all, by a threshold on their hash."""
+    sizes = train.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    k = sizes.count()
+    per = max(1, min(per_class, most // max(1, k)))
+    if k > MOST_LABELS:
+        raise ValueError(f"{k} languages; a model tells at most {MOST_LABELS} apart")
+    few = train.join(F.broadcast(sizes), F.col(label) == F.col("_l"))
+    return few.where(key < per / F.greatest(F.lit(per), F.col("_n"))).drop("_l", "_n")
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-4, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +177,7 @@ class Model:
         return total / max(n, 1) * self.norm + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not LETTER.search(text):
+        if not self.langs or not text or not any(map(str.isalpha, text)):
             return UND, 0.0
         p = softmax(self.logits(text) / self.temperature)
         k = int(p.argmax())
@@ -188,14 +197,14 @@ def fit(train: DataFrame, label: str = "lang", text: str = "text", doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            feats = [counts(t or "") for t in b.column(1).to_pylist()]
+            feats = [counts(read(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), *[pa.array([f[k].astype(np.int32).tobytes() for f in feats], pa.binary()) for k in (0, 1)]],
                 names=["lang", "key", "at", "n"],
             )
 
     key = fraction_hash(F.lit("lang"), F.col(doc_id), F.col(text))
-    chosen = sample(train, label, key, per_class).select(F.col(label).alias("lang"), text, key.alias("key"))
+    chosen = sample(train, label, key, per_class).select(F.col(label).alias("lang"), F.col(text).cast("binary"), key.alias("key"))
     got = chosen.mapInArrow(run, "lang string, key double, at binary, n binary").toPandas()
     got = got.sort_values(["lang", "key"], kind="stable")
     langs = sorted(got["lang"].unique())
@@ -219,17 +228,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry_text: bool
     """
     spark = docs.sparkSession
     small_batches(spark)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score") and (carry_text or c != text)]
-    src = docs.select(*keep) if carry_text else docs.select(*keep, text)
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score") and (carry_text or c != text)]
+    src = carried(docs, keep, text)
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    at = src.columns.index(text)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = [m.predict(t) for t in b.column(at).to_pylist()]
+            got = [m.predict(read(t)) for t in b.column(0).to_pylist()]
             cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*keep, "lang_pred", "score"])
 
     return src.mapInArrow(run, schema)
