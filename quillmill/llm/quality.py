@@ -4,13 +4,18 @@ An additive model of text statistics minimises the non-negative unbiased PU
 risk: trusted positives carry the positive part, unlabelled web text minus the
 positives' share the negative part, and the negative part may not fall below
 zero (a step that would push it there is taken back instead). The class prior
-is estimated from the training labels. A two-parameter calibration on labelled
-training rows then makes the score a probability.
+is estimated from positives and unlabelled texts: a first model orders both, and
+the prior is the least ratio, less what chance allows, of the unlabelled to the
+held-back positives above a score. A two-parameter calibration on labelled rows
+that were not fitted on then makes the score a probability.
 
 Each statistic is cut into quantile bins of the unlabelled sample, so its
 effect may bend. The model is fitted on bounded samples: up to ``PER_SET``
 trusted positives, as many unlabelled texts and as many labelled rows for the
-calibration, those with the smallest hash of id and text.
+calibration, those with the smallest hash of id and text. A fifth of the
+positives is held back for the prior and the calibration; with fewer than
+``FEW`` of those the prior is the labelled share of positives. The model itself
+is then fitted on all of them.
 
 Defined results: a null or empty text is scored as the empty text; documents
 without a label are unlabelled; of several labels of one id each counts; with
@@ -23,17 +28,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import LOWER, fraction_hash, small_batches
+from quillmill.llm.common import LOWER, carried, fraction_hash, small_batches
 
 #: Bound on each sample that the model is fitted on.
 PER_SET = 6000
+#: Held-back positives that can tell the class prior.
+FEW = 100
 BINS = 24
 THRESHOLD = 0.7
 FEATURES = (
@@ -169,6 +176,20 @@ def nnpu(model: Model, pos: np.ndarray, unl: np.ndarray, epochs: int = 60, batch
     model.w, model.bias = w[:-1], float(w[-1])
 
 
+def class_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among the unlabelled, by the best top bin of their scores.
+
+    Above any score the unlabelled hold at least the positives' share of
+    positives; the bin with the least bound on the ratio holds little else.
+    """
+    cuts = np.unique(pos)
+    in_pos = 1 - np.searchsorted(np.sort(pos), cuts, "left") / len(pos)
+    in_unl = 1 - np.searchsorted(np.sort(unl), cuts, "left") / len(unl)
+    chance = sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (pos, unl))
+    best = np.argmin((in_unl + (1 + gamma) * chance) / in_pos)
+    return float(np.clip(in_unl[best] / in_pos[best], 0.01, 0.99))
+
+
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
     """Slope and shift of the log-odds by Newton steps, with a weak prior on both."""
     f = model.raw(x)
@@ -223,20 +244,28 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return model
     grid = np.linspace(0, 1, BINS + 1)[1:-1]
     model.cuts = [np.unique(np.concatenate([np.quantile(web[:, f], grid), np.quantile(web[:, f], [0.005, 0.01, 0.02, 0.98, 0.99, 0.995])])) for f in range(len(FEATURES))]
+    # rows are in the order of their hash, so the part that is held back is random and repeatable
+    back = np.arange(len(pos)) % 5 == 4
+    if back.sum() >= FEW:
+        first = replace(model, prior=0.5)
+        nnpu(first, pos[~back], web)
+        model.prior = class_prior(first.raw(pos[back]), first.raw(web))
     nnpu(model, pos, web)
-    if (y == 0).any():
-        # both classes are weighed as the labels are
-        w0 = by.get(0, 0) / max(1, (y == 0).sum())
-        w1 = by.get(1, 0) / max(1, (y == 1).sum())
-        take = y >= 0
-        rep = np.where(y[take] == 1, w1, w0)
-        _weighted(model, x[take], y[take], rep)
+    bad = x[y == 0]
+    if len(bad) and back.any():
+        # the curve comes from a model that hasn't seen its rows; both classes are weighed as the labels are
+        part = replace(model)
+        nnpu(part, pos[~back], web)
+        both, marks = np.concatenate([pos[back], bad]), np.repeat([1, 0], [back.sum(), len(bad)])
+        weight = np.where(marks == 1, by.get(1, 0) / back.sum(), by.get(0, 0) / len(bad))
+        _weighted(part, both, marks, weight)
+        model.slope, model.shift = part.slope, part.shift
     return model
 
 
 def _weighted(model: Model, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
     """Calibrates with weights, by repeating rows in proportion."""
-    times = np.maximum(1, np.round(w / w.min())).astype(int)
+    times = np.maximum(1, np.round(4 * w / w.min())).astype(int)
     calibrate(model, np.repeat(x, times, axis=0), np.repeat(y, times))
 
 
@@ -244,18 +273,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
     """The documents, with their text only if asked for, with ``score`` and ``predicted``."""
     spark = docs.sparkSession
     small_batches(spark)
-    keep = [c for c in docs.columns if c not in ("score", "predicted") and (carry_text or c != text)]
-    src = docs.select(*keep) if carry_text else docs.select(*keep, text)
+    keep = [c for c in docs.columns if c.lower() not in ("score", "predicted") and (carry_text or c != text)]
+    src = carried(docs, keep, text)
     schema = docs.select(*keep).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
-    at = src.columns.index(text)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            x = np.stack([statistics((t or "").encode()) for t in b.column(at).to_pylist()]) if b.num_rows else np.zeros((0, len(FEATURES)))
+            x = np.stack([statistics(t or b"") for t in b.column(0).to_pylist()]) if b.num_rows else np.zeros((0, len(FEATURES)))
             s = m.score(x.astype(np.float64))
             cols = [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*keep, "score", "predicted"])
 
     return src.mapInArrow(run, schema)
