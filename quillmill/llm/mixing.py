@@ -13,6 +13,11 @@ smaller sizes in the source, then of smaller hash cells of the same size, then
 of the rows before it in its own cell. A source's sizes are few (they are
 lengths); a cell holds rows of one source, one size and one of ``CELLS`` hashes.
 
+Sources may be many, as web domains are, so their table stays distributed:
+places in code point order come from a range sort and the row counts of its
+partitions, targets from rounds of sums over the table. A source's rate reaches
+its documents with their ranks, in the same join.
+
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; sources of size 0 get target 0; repeated rows are sampled one
 by one; an empty table gives an empty mix; added columns that clash with
@@ -21,13 +26,11 @@ columns of the input replace them.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillmill.llm.common import count_words, key_hash
+from quillmill.llm.common import count_words, fresh, key_hash, materialise
 
 CELLS = 512
 #: Source weights by place in code point order, repeating.
@@ -36,33 +39,50 @@ SHARE = 1.5
 MOST = 2.0
 
 
-def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:
-    """Words to take of each source: by weight, at most ``most`` times its size.
+def ranked_sources(sources: DataFrame) -> DataFrame:
+    """The table of sources ``s`` with ``place``: its number from 0 in code point order, null last."""
+    ordered = sources.repartitionByRange(F.col("s").asc_nulls_last()).sortWithinPartitions(F.col("s").asc_nulls_last())
+    # an id is its partition's number, shifted by 33 bits, and the row's place in there
+    numbered = materialise(ordered.withColumn("_id", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("_id", 33)
+    counts = numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()  # a row for each partition
+    first, at = {}, 0
+    for p, n in sorted(map(tuple, counts)):
+        first[p], at = at, at + n
+    base = sources.sparkSession.createDataFrame(list(first.items()), "_p long, _first long")
+    return numbered.join(F.broadcast(base), part == F.col("_p")).select(
+        *sources.columns, (F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("place")
+    )
+
+
+def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Adds ``target`` to sources with ``place`` and size ``n``: by weight, at most ``most`` times the size.
 
     What a stopped source leaves is shared by weight among the others until
-    none is above its stop.
+    none is above its stop: each round stops those above theirs at the current
+    words a weight, which only grow, so a source once stopped stays so.
     """
-    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    left, open_ = share * sum(size.values()), [s for s, _ in order]
-    out: dict = {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        stop = [s for s in open_ if left * weight[s] / total > most * size[s]]
-        if not stop:
-            out |= {s: left * weight[s] / total for s in open_}
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    sized = sources.withColumns({"_w": weight, "_cap": most * F.col("n").cast("double")})
+    total = (sized.agg(F.sum("n")).first()[0] or 0) * share
+    unit, stopped, rest = 0.0, -1, None
+    while True:
+        over = F.col("_w") * F.lit(unit) > F.col("_cap")
+        k, cap, rest = sized.agg(
+            F.sum(over.cast("long")), F.sum(F.when(over, F.col("_cap")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("_w")))
+        ).first()
+        if k == stopped or not rest:
             break
-        out |= {s: most * size[s] for s in stop}
-        left -= sum(most * size[s] for s in stop)
-        open_ = [s for s in open_ if s not in out]
-    return {s: float(out.get(s, 0.0)) for s in size}
+        stopped, unit = k, (total - cap) / rest
+    if rest == 0.0:
+        unit = float("inf")  # all are stopped
+    return sized.withColumn("target", F.least("_cap", F.col("_w") * F.lit(unit))).drop("_w", "_cap")
 
 
-def offset(source: str | None, seed: int) -> float:
-    """The random offset of a source: the same in every run."""
-    name = b"\1" if source is None else b"s" + source.encode()
-    return int.from_bytes(hashlib.sha256(name + str(seed).encode()).digest()[:6], "big") / (1 << 48)
+def offset(source: Column, seed: int) -> Column:
+    """The random offset of a source in [0, 1): the same in every run."""
+    name = F.when(source.isNull(), F.lit("\1")).otherwise(F.concat(F.lit("s"), source))
+    return F.conv(F.substring(F.sha2(F.concat(name, F.lit(str(seed))).cast("binary"), 256), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def mix(
@@ -77,45 +97,48 @@ def mix(
 ) -> DataFrame:
     """The documents with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
 
-    ``ties`` name the columns that order documents of the same size. The table
-    of sources (one row each) passes through the driver.
+    ``ties`` name the columns that order documents of the same size.
     """
-    spark = docs.sparkSession
-    sized = docs.withColumn("size", count_words(F.col("text")) if size is None else size)
-    grouped = sized.groupBy(F.col(source).alias("s")).agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect()
-    goal = targets([(r["s"], r["n"]) for r in grouped], weights, share, most)
-    rows = [(s, n, goal[s], goal[s] / n if n else 0.0, offset(s, seed), k) for s, n, k in grouped]
-    plan = spark.createDataFrame(
-        rows, "_s string, source_size long, target double, _rate double, _offset double, _docs long"
-    )
+    added = ("size", "source_size", "target", "copies", "taken")
+    keep = [c for c in docs.columns if c.lower() not in added]
     tie = key_hash(*[F.col(c) for c in (ties or ["doc_id"])])
-    cell = sized.withColumns({"_tie": tie, "_src": F.col(source)}).withColumn("_cell", F.pmod("_tie", F.lit(CELLS)))
-    by_size = cell.groupBy("_src", "size").agg(F.count("*").alias("_n"))
-    by_cell = cell.groupBy("_src", "size", "_cell").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over
-    w_size = W.partitionBy("_src").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
-    w_cell = W.partitionBy("_src", "size").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    w_row = W.partitionBy("_src", "size", "_cell").orderBy("_tie")
-    first = by_size.select(F.col("_src").alias("_a"), F.col("size").alias("_b"), F.coalesce(before(w_size), F.lit(0)).alias("_below"))
-    inner = by_cell.select("_src", "size", "_cell", F.coalesce(before(w_cell), F.lit(0)).alias("_inside"))
-    start = inner.join(first, F.col("_src").eqNullSafe(F.col("_a")) & (F.col("size") == F.col("_b"))).select(
-        F.col("_src").alias("_a"), F.col("size").alias("_b"), F.col("_cell").alias("_c"), (F.col("_below") + F.col("_inside")).alias("_start")
+    weighed = count_words(F.col("text")) if size is None else size.cast("long")
+    # the columns of a row travel as one, so their names clash with none in here
+    rows = docs.select(F.struct(*keep).alias("row"), weighed.alias("size"), F.col(source).cast("string").alias("src"), tie.alias("tie"))
+    cell = rows.withColumn("cell", F.pmod("tie", F.lit(CELLS)))
+    grouped = cell.groupBy(F.col("src").alias("s")).agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
+    rate = F.when(F.col("n") > 0, F.col("target") / F.col("n")).otherwise(0.0)
+    plan = targets(ranked_sources(grouped), weights, share, most).select(
+        "s", F.col("n").alias("source_size"), "target", rate.alias("rate"), offset(F.col("s"), seed).alias("offset"), "docs"
+    )
+    by_size = cell.groupBy("src", "size").agg(F.count("*").alias("n"))
+    by_cell = cell.groupBy("src", "size", "cell").agg(F.count("*").alias("n"))
+    before = F.sum("n").over
+    w_size = W.partitionBy("src").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
+    w_cell = W.partitionBy("src", "size").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    w_row = W.partitionBy("src", "size", "cell").orderBy("tie")
+    told = ["source_size", "target", "rate", "offset", "docs"]
+    below = by_size.select("src", F.col("size").alias("b"), F.coalesce(before(w_size), F.lit(0)).alias("below"))
+    first = below.join(plan, F.col("src").eqNullSafe(F.col("s"))).select(F.col("src").alias("a"), "b", "below", *told)
+    inner = by_cell.select("src", "size", "cell", F.coalesce(before(w_cell), F.lit(0)).alias("inside"))
+    start = inner.join(first, F.col("src").eqNullSafe(F.col("a")) & (F.col("size") == F.col("b"))).select(
+        F.col("src").alias("a"), F.col("size").alias("b"), F.col("cell").alias("c"), (F.col("below") + F.col("inside")).alias("start"), *told
     )
-    ranked = cell.withColumn("_k", F.row_number().over(w_row)).join(
-        start, F.col("_src").eqNullSafe(F.col("_a")) & (F.col("size") == F.col("_b")) & (F.col("_cell") == F.col("_c"))
+    out = cell.withColumn("k", F.row_number().over(w_row)).join(
+        start, F.col("src").eqNullSafe(F.col("a")) & (F.col("size") == F.col("b")) & (F.col("cell") == F.col("c"))
     )
-    out = ranked.join(F.broadcast(plan), F.col("_src").eqNullSafe(F.col("_s")))
-    rank = F.col("_start") + F.col("_k")
-    place = F.when(rank % 2 == 1, F.expr("(_start + _k + 1) div 2")).otherwise(F.col("_docs") + 1 - F.expr("(_start + _k) div 2"))
-    end = F.floor(place * F.col("_rate") + F.col("_offset"))
-    begin = F.floor((place - 1) * F.col("_rate") + F.col("_offset"))
+    rank = F.col("start") + F.col("k")
+    place = F.when(rank % 2 == 1, F.expr("(start + k + 1) div 2")).otherwise(F.col("docs") + 1 - F.expr("(start + k) div 2"))
+    end = F.floor(place * F.col("rate") + F.col("offset"))
+    begin = F.floor((place - 1) * F.col("rate") + F.col("offset"))
     return (
         out.withColumn("copies", (end - begin).cast("int"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*[c for c in sized.columns], "source_size", "target", "copies", "taken")
+        .select("row.*", *added[:3], "copies", "taken")
     )
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each document as often as it was taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    times = F.sequence(F.lit(1), F.col("copies"))
+    return mixed.where("copies > 0").withColumn(fresh("copy", mixed.columns), F.explode(times)).select(*columns)

@@ -39,14 +39,14 @@ def mixed(seed: int = 17) -> str:
     tie = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)"
     return f"""WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda x: x <> '')) AS BIGINT) AS size, {tie} AS tie FROM documents),
 g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),
-w AS (SELECT *, {weights} AS weight, {mixing.MOST} * source_size AS cap FROM g),
+w AS (SELECT *, {weights} AS weight, CAST({mixing.MOST} * source_size AS DOUBLE) AS cap FROM g),
 o AS (SELECT *, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight, rn) AS k FROM w),
-l AS (SELECT k, ratio, ({mixing.SHARE} * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
+l AS (SELECT k, ratio, (CAST({mixing.SHARE} * sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
   sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM o),
 u AS (SELECT unit FROM l WHERE unit <= ratio ORDER BY k LIMIT 1),
 t AS (SELECT o.source, source_size, docs, least(cap, unit * weight) AS target,
   CAST('0x' || substr(sha256(CASE WHEN o.source IS NULL THEN chr(1) ELSE 's' || o.source END || '{seed}'), 1, 12) AS BIGINT) / 281474976710656.0 AS off FROM o, u),
-p AS (SELECT d.*, t.source_size, t.target, t.docs, t.off, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+p AS (SELECT d.*, t.source_size, t.target, t.docs, t.off, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
   row_number() OVER (PARTITION BY d.source ORDER BY size, tie % {mixing.CELLS}, tie) AS rk FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, CASE WHEN rk % 2 = 1 THEN (rk + 1) // 2 ELSE docs + 1 - rk // 2 END AS place FROM p)
-SELECT doc_id, size, source_size, round(target, 6) AS target, CAST((floor(place * rate + off) - floor((place - 1) * rate + off)) * size AS BIGINT) AS taken, source FROM q"""
+SELECT doc_id, size, source_size, target, CAST((floor(place * rate + off) - floor((place - 1) * rate + off)) * size AS BIGINT) AS taken, source FROM q"""
