@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import LOWER, fresh, join_spread, materialise, small_batches
+from quillmill.llm.common import LOWER, carried, fresh, join_spread, materialise, small_batches
 
 MAX_BITS = 3
 N_PIVOTS = 24
@@ -101,14 +101,14 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
     """The documents, without the text, with their fingerprint as a signed long."""
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text, out)]
-    src = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
-    schema = src.drop("_text").withColumn(out, F.lit(0).cast("long")).schema
+    src = carried(docs, keep, text)
+    schema = docs.select(*keep).withColumn(out, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t or b"") for t in b.column(len(keep)).to_pylist()]
+            fps = [fingerprint(t or b"") for t in b.column(0).to_pylist()]
             col = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], col], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], col], names=[*keep, out])
 
     return src.mapInArrow(run, schema)
 
@@ -432,8 +432,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Exact repeats of that id are told apart by a row number fixed before the search.
     """
-    row = "_row"
     cols = docs.columns
+    row = fresh("row", cols)
     numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
     found = with_components(numbered.select(doc_id, text, row), doc_id, text)
     # one key a component; the aggregate combines before its shuffle, so hot components stay small

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import language_id, mixing, packing, quality, simhash
-from quillmill.llm.common import held_out, read_table
+from quillmill.llm.common import count_words, held_out, read_table
 
 #: Below this probability a language is not taken as identified.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"), 5, 0)))
     judged = _judged(docs, lambda d: language_id.predict(d, model, carry_text=True))
     sure = (F.col("_j.lang_pred") != language_id.UND) & (F.col("_j.score") >= LEAST_LANGUAGE_SCORE)
-    return judged.where(sure).select(*docs.columns)
+    return judged.where(sure).select("_d.*")
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +38,15 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.fit(docs.where(train), labels.where(train))
     judged = _judged(docs, lambda d: quality.predict(d, model, carry_text=True))
-    return judged.where(F.col("_j.predicted") == 1).select(*docs.columns)
+    return judged.where(F.col("_j.predicted") == 1).select("_d.*")
 
 
 def _judged(docs: DataFrame, predict) -> DataFrame:
-    """The columns of docs beside a struct _j of what a classifier adds, whatever the names."""
+    """A struct _d of the columns of docs beside a struct _j of what a classifier adds, whatever the names."""
     inner = docs.select(F.struct(*docs.columns).alias("_d"), "text")
     out = predict(inner)
     added = [c for c in out.columns if c not in ("_d", "text")]
-    return out.select("_d.*", F.struct(*added).alias("_j"))
+    return out.select("_d", F.struct(*added).alias("_j"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source of its own; a text without a word has no words to
     take, its copies cost nothing.
     """
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "source", count_words(F.col("text")).alias("words"))
+    return mixing.emit(mixing.mix(whole, size=F.col("words")), ["whole"]).select("whole.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
