@@ -10,9 +10,10 @@ them
     p(w|v)  = (c(v w) + M p1(w)) / (c(v) + M)
 
 with D from the counts of counts. The prior strength M depends on the level of
-c(v); it is the one of ``PRIORS`` that makes up to ``SAMPLE`` training texts
-most probable when each of their bigrams is left out of the counts in turn. A
-bigram is only probed if both its words are in the filter, which keeps false
+c(v); it is the one of ``PRIORS`` that makes all training texts most probable
+when each of their bigrams is left out of the counts in turn. Those likelihoods
+are sums over the levels that occur together, so they take one pass over what
+the filter said, and ``fit_and_score`` asks it once. A bigram is only probed if both its words are in the filter, which keeps false
 positives down.
 
 Counting is distributed: partial counts of hashed n-grams are packed by segment
@@ -23,8 +24,9 @@ of texts ask parts of it for their distinct n-grams, and the levels come back to
 the chunk in a second join; both ways give the same scores.
 
 The base score is exact: the counts of the most frequent words (at most
-``HEAD``) are broadcast, all other words of a text meet theirs in a join. Those
-words are rare by construction, so the join has no hot key.
+``HEAD``) are broadcast, long ones under a digest, all other words of a text meet
+theirs in a join. Those words are rare by construction, so the join has no hot
+key.
 
 Defined results: a null, empty or blank text is the end token alone; a null
 doc_id counts as training; repeated rows each count and are each scored;
@@ -34,8 +36,9 @@ score 0; an empty table gives an empty result; other columns are not carried.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from math import ceil, log
 
@@ -45,23 +48,27 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import LOWER, fraction_hash, materialise, small_batches
+from quillmill.llm.common import LOWER, by_bytes, materialise, small_batches
 
 HEAD = 1 << 17
+#: Bytes of a word from which on the head holds its digest.
 HEAD_WORD = 64
 #: The largest filter that is broadcast.
 MAX_BYTES = 128 << 20
 BITS = 8
 PROBES = 5
 BASE = 1.5
-#: Prior strengths to choose from, and the bound on the training texts that choose.
+#: Prior strengths to choose from.
 PRIORS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1e3, 3e3, 1e4, 1e5, 1e6)
-SAMPLE = 2000
 #: Words that a worker remembers.
 KEPT = 300_000
 #: N-grams that a worker sums before it passes them on.
 CHUNK = 1 << 21
 SEGMENT_BYTES = 16 << 20
+#: Bytes of text whose words one task joins with their counts.
+JOIN_BYTES = 128 << 20
+#: How the counts of unigrams, which are of the whole corpus, and of bigrams, which are of a chunk, are packed.
+PACKED = {1: "<u8", 2: "<u4"}
 #: Tokens of the texts that ask a filter in a table together, and log2 of the segments that answer together.
 ASKING = 1 << 19
 PART_BITS = 2
@@ -194,10 +201,12 @@ class Model:
     mean1: np.ndarray  # mean count of the words on each level
     mean2: np.ndarray  # the same for bigrams
     head: dict[bytes, int]
+    long: dict[bytes, int]  # long words of the head, by digest
     top: int  # the highest level that any n-gram has
     shift: int
     prior: np.ndarray  # prior strength by the level of the first word
     segments: DataFrame | None = None  # (seg, bits) of a filter that is too large to broadcast
+    text_bytes: int = 0  # of all texts it was counted with
     shared: Broadcast | None = None  # this model, sent once; what looks up needs no priors
 
     @property
@@ -252,7 +261,7 @@ def _segments_of(keys: np.ndarray, counts: np.ndarray, order: int, shift: int) -
     seg = (keys >> _U(shift)).astype(np.int64)
     cut = np.concatenate([[0], np.flatnonzero(np.diff(seg)) + 1, [len(seg)]])
     low = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-    big = counts.astype("<u4")
+    big = counts.astype(PACKED[order])
     where = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
     cols = [
         pa.array(seg[cut[:-1]]),
@@ -277,7 +286,7 @@ def _bigram_parts(train: DataFrame, shift: int) -> DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             return _segments_of(keys, n, 2, shift)
 
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 0)):
             seq: list[bytes] = [END]
             for t in b.column(0).to_pylist():
                 seq += tokens(t)
@@ -324,7 +333,7 @@ def _build(parts: DataFrame, n_segments: int, tasks: int, max_bytes: int | None)
                 wide = np.zeros((len(raw) // 6, 8), np.uint8)
                 wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
                 low = wide.view("<u8").ravel()
-                c = np.frombuffer(b"".join(c for o, _, c in blobs if o == order), "<u4").astype(np.int64)
+                c = np.frombuffer(b"".join(c for o, _, c in blobs if o == order), PACKED[order]).astype(np.int64)
                 keys, at = np.unique(low, return_inverse=True)
                 total = np.bincount(at, weights=c, minlength=len(keys)).astype(np.int64)
                 lvl = level(total)
@@ -355,10 +364,26 @@ def _build(parts: DataFrame, n_segments: int, tasks: int, max_bytes: int | None)
     return dealt.mapInArrow(run, "seg long, bits binary, ord array<long>, level array<long>, num array<long>, total array<long>")
 
 
-def fit(
+def fit(docs: DataFrame, train: Column, text: str = "text", **how) -> tuple[Model, DataFrame]:
+    """The model of the training rows, and the exact vocabulary (token, n); ``how`` is as of ``count``."""
+    model, vocab = count(docs, train, text, **how)
+    rows = docs.where(train)
+    _choose_priors(model, _looked(rows, F.lit(False), model, text, None))
+    return model, vocab
+
+
+def fit_and_score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_id", **how) -> tuple[Model, DataFrame]:
+    """The model of the rows that aren't held out, and the scores of all, as ``fit`` and ``score`` give them."""
+    model, vocab = count(docs, ~held, text, **how)
+    looked = materialise(_looked(docs, held, model, text, doc_id), "lm-looked")
+    _choose_priors(model, looked.where("not held_out"))
+    return model, _scores(looked, model, vocab)
+
+
+def count(
     docs: DataFrame, train: Column, text: str = "text", max_bytes: int | None = None, head: int = HEAD, broadcast_bytes: int = MAX_BYTES
 ) -> tuple[Model, DataFrame]:
-    """The model of the training rows, and the exact vocabulary (token, n).
+    """The counts of the training rows: a model without chosen priors, and the exact vocabulary.
 
     A caller can bound the filter by ``max_bytes``, at the price of false positives.
     """
@@ -383,8 +408,11 @@ def fit(
         if room < 0:
             break
         low = r["b"]
-    top = vocab.where((bucket >= low) & (F.octet_length("token") <= HEAD_WORD)).collect() if low is not None else []
-    counts = {bytes(r["token"]): r["n"] for r in top}  # at most `head` words of HEAD_WORD bytes
+    is_long = F.octet_length("token") > HEAD_WORD
+    name = F.when(is_long, F.unhex(F.md5("token"))).otherwise(F.col("token"))
+    # at most `head` words of HEAD_WORD bytes
+    top = vocab.where(bucket >= low).select(name.alias("name"), is_long.alias("long"), "n").collect() if low is not None else []
+    short, long = ({bytes(r["name"]): r["n"] for r in top if r["long"] == is_} for is_ in (False, True))
     parts = _bigram_parts(rows, shift).unionByName(_unigram_parts(vocab, shift))
     built = materialise(_build(parts, n_segments, tasks, max_bytes), "lm-segments")
     stats: Counter = Counter()
@@ -404,29 +432,25 @@ def fit(
         means.append(np.array([0.0] + [stats[o, i, 1] / stats[o, i, 0] if stats[o, i, 0] else BASE ** (i - 1) for i in range(1, most + 40)]))
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     prior = np.full(highest + 1, PRIORS[-1])
-    model = Model(found, n, v, discount, means[0], means[1], counts, highest, shift, prior, segments)
-    _choose_priors(model, rows)
+    model = Model(found, n, v, discount, means[0], means[1], short, long, highest, shift, prior, segments, size)
     return model, vocab
 
 
-def _choose_priors(model: Model, rows: DataFrame) -> None:
-    """Sets each level's prior strength by leave-one-out likelihood on a sample of the training texts."""
+def _choose_priors(model: Model, looked: DataFrame) -> None:
+    """Sets each level's prior strength by leave-one-out likelihood on the training texts, as looked up."""
     if not model.n:
         return
-    n, size = rows.count(), model.top + 1
-    some = rows.where(fraction_hash(F.lit("prior"), F.col("t")) < F.lit(SAMPLE / max(n, SAMPLE)))
-    none = F.lit(None)
-    some = some.select(F.monotonically_increasing_id().alias("row"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), "t")
+    size = model.top + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size**3, np.int64)
         for b in batches:
-            code = _codes(b.column(8), b.column(9), size)
+            code = _codes(b.column(0), b.column(1), size)
             seen += np.bincount(code, minlength=size**3)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["code", "n"])
 
-    sums = _look_up(some, model, run, "code long, n long").groupBy("code").agg(F.sum("n"))
+    sums = looked.select("l1", "l2").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n"))
     times = np.zeros(size**3)
     for code, k in sums.collect():  # a row for each three levels that occur
         times[code] = k
@@ -472,10 +496,11 @@ class Scorer:
             self.words += new
             h = word_hash(new)
             lvl = self.m.filter.levels(unigram_key(h))
-            get = self.m.head.get
+            short, long = self.m.head.get, self.m.long.get
+            exact = (short(w, -1) if len(w) <= HEAD_WORD else long(hashlib.md5(w).digest(), -1) for w in new)
             self.hash = np.concatenate([self.hash, h])
             self.l1 = np.concatenate([self.l1, lvl])
-            self.exact = np.concatenate([self.exact, np.fromiter((get(w, -1) for w in new), np.int64, len(new))])
+            self.exact = np.concatenate([self.exact, np.fromiter(exact, np.int64, len(new))])
         return np.fromiter(map(self.known.__getitem__, seq), np.int64, len(seq))
 
     def bigrams(self, at: np.ndarray) -> np.ndarray:
@@ -518,29 +543,28 @@ def _mean(means: np.ndarray, lvl: np.ndarray) -> np.ndarray:
 LOOKED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, words array<binary>, times array<long>, l1 binary, l2 binary"
 
 
-Then = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-
-
-def _look_up(src: DataFrame, model: Model, then: Then, schema: str) -> DataFrame:
-    """What ``then`` makes, in the same worker, of (row, doc_id, held_out, t) as ``LOOKED``.
-
-    Those are levels of every word and bigram, counts of head words, and the other words.
-    """
+def _looked(docs: DataFrame, held: Column, model: Model, text: str, doc_id: str | None) -> DataFrame:
+    """The rows as ``LOOKED``: levels of every word and bigram, counts of head words, and the other words."""
+    small_batches(docs.sparkSession)
+    own = F.col(doc_id).cast("long") if doc_id else F.lit(None).cast("long")
+    src = docs.select(F.monotonically_increasing_id().alias("row"), own.alias("doc_id"), held.alias("held_out"), F.col(text).cast("binary").alias("t"))
     if model.shared is None:
         model.shared = src.sparkSession.sparkContext.broadcast(replace(model, segments=None))
     if model.segments is not None:
-        return _look_up_by_join(src, model, then, schema)
+        return _look_up_by_join(src, model)
     shared = model.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(shared.value)
-        yield from then(s.rows(b) for b in batches)
+        for b in batches:
+            for part in by_bytes(b, 3):
+                yield s.rows(part)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, LOOKED)
 
 
-def _look_up_by_join(src: DataFrame, model: Model, then: Then, schema: str) -> DataFrame:
-    """The same with segments in a table: chunks of texts ask for their n-grams, parts of the filter answer."""
+def _look_up_by_join(src: DataFrame, model: Model) -> DataFrame:
+    """The same for (row, doc_id, held_out, t) with segments in a table: chunks of texts ask for their n-grams, parts of the filter answer."""
     segments, shared = model.segments, model.shared
     shift, top = model.shift, model.top
 
@@ -620,7 +644,8 @@ def _look_up_by_join(src: DataFrame, model: Model, then: Then, schema: str) -> D
                     continue
                 if s.m.filter is None:
                     s.m.filter = Answers(np.frombuffer(b"".join(k for k, _ in got), np.uint64), np.frombuffer(b"".join(v for _, v in got), np.uint8))
-                yield s.rows(part)
+                for few in by_bytes(part, 3):
+                    yield s.rows(few)
 
     asks = texts.select("chunk", "t").mapInArrow(ask, "part long, chunk long, seg long, data binary")
     parts = segments.select(F.shiftright("seg", PART_BITS).alias("part"), F.lit(None).cast("long").alias("chunk"), "seg", F.col("bits").alias("data"))
@@ -633,7 +658,7 @@ def _look_up_by_join(src: DataFrame, model: Model, then: Then, schema: str) -> D
     meet = texts.select("*", F.lit(True).alias("is_text"), none.cast("binary").alias("keys"), none.cast("binary").alias("levels")).unionByName(
         answers.withColumn("is_text", F.lit(False)), allowMissingColumns=True
     )
-    return meet.repartition(tasks, "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(lambda batches: then(look(batches)), schema)
+    return meet.repartition(tasks, "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(look, LOOKED)
 
 
 def _runs(a: np.ndarray) -> list[tuple[int, int]]:
@@ -646,27 +671,27 @@ def _runs(a: np.ndarray) -> list[tuple[int, int]]:
 
 def score(docs: DataFrame, held: Column, model: Model, vocab: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The contract's row for each document."""
-    small_batches(docs.sparkSession)
-    src = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).cast("binary").alias("t")
-    )
+    return _scores(materialise(_looked(docs, held, model, text, doc_id), "lm-looked"), model, vocab)
+
+
+def _scores(looked: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
     table, size = model.log10(), model.top + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = table.ravel()
         for b in batches:
             n = b.column(3).to_numpy()
-            code = _codes(b.column(8), b.column(9), size)
+            code = _codes(b.column(6), b.column(7), size)
             sums = np.add.reduceat(logs[code], np.cumsum(n) - n) if len(n) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:8], pa.array(sums, pa.float64())], names=[*b.schema.names[:8], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(sums, pa.float64())], names=[*b.schema.names[:6], "score"])
 
-    schema = LOOKED.removesuffix(", l1 binary, l2 binary") + ", score double"
-    scored = materialise(_look_up(src, model, run, schema), "lm-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("p")).select("row", F.col("p.words").alias("token"), F.col("p.times").alias("tf"))
-    met = rare.join(vocab, "token", "left")
+    scored = looked.drop("words", "times").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double")
+    rare = looked.select("row", F.explode(F.arrays_zip("words", "times")).alias("p")).select("row", F.col("p.words").alias("token"), F.col("p.times").alias("tf"))
+    tasks = max(int(looked.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(model.text_bytes / JOIN_BYTES))
+    met = rare.repartition(tasks, "token").join(vocab.repartition(tasks, "token"), "token", "left")
     term = F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(model.unit))
     sums = met.groupBy("row").agg(F.sum(term).alias("rest"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("rest_known"))
-    return scored.drop("words", "times").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("head_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),

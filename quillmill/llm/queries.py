@@ -14,9 +14,7 @@ SMALL_SHARD_BYTES = 256 << 10
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = held_out(F.col("doc_id"), 7, 2)
-    model, vocabulary = lm.fit(docs, ~held)
-    return lm.score(docs, held, model, vocabulary)
+    return lm.fit_and_score(docs, held_out(F.col("doc_id"), 7, 2))[1]
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

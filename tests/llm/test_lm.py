@@ -50,6 +50,93 @@ def test_base_score_and_counts_match_brute_force(spark, rows):
         assert all(r.train_tokens == n and r.score <= 0 for r in got)
 
 
+def plain_scores(rows, model):
+    """Every score from dictionaries of the training counts; the filter is asked one n-gram at a time."""
+    train = [[b"", *[(w or "").encode() for w in toks(t)]] for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
+    one = Counter(w for seq in train for w in seq[1:])
+    two = Counter(p for seq in train for p in zip(seq, seq[1:], strict=False))
+
+    def quantised(counts, keys):
+        q = {k: 1 + math.floor(math.log(n) / math.log(1.5) + 1e-9) for k, n in counts.items()}
+        total, num = Counter(), Counter()
+        for k, n in counts.items():
+            total[q[k]] += n
+            num[q[k]] += 1
+        asked = model.filter.levels(keys)
+        return asked, {lvl: total[lvl] / num[lvl] for lvl in num}
+
+    words = sorted({(w or "").encode() for _, t in rows for w in toks(t)})
+    level1, mean1 = quantised(one, lm.unigram_key(lm.word_hash(words)))
+    level1 = dict(zip(words, level1.tolist(), strict=True))
+    pairs = sorted({p for _, t in rows for seq in [[b"", *[(w or "").encode() for w in toks(t)]]] for p in zip(seq, seq[1:], strict=False)})
+    level2, mean2 = quantised(two, lm.bigram_key(lm.word_hash([a for a, _ in pairs]), lm.word_hash([b for _, b in pairs])))
+    level2 = dict(zip(pairs, level2.tolist(), strict=True))
+    n, v = sum(one.values()), len(one)
+    n1, n2 = sum(c == 1 for c in one.values()), sum(c == 2 for c in one.values())
+    d = n1 / (n1 + 2 * n2)
+
+    def mean(means, lvl):
+        return 0.0 if not lvl else means.get(lvl, 1.5 ** (lvl - 1))
+
+    def p1(c):
+        return (max(c - d, 0.05) if c > 0 else d * v) / n
+
+    def expected(a, b):
+        c1, c = mean(mean1, level1[a]), mean(mean1, level1[b])
+        c2 = mean(mean2, level2[a, b]) if level1[a] and level1[b] else 0.0
+        return c1, c, min(c2, c1, c)
+
+    def prob(a, b, prior):
+        c1, c, c2 = expected(a, b)
+        return min(1.0, (c2 + prior[level1[a]] * p1(c)) / (c1 + prior[level1[a]]) if c1 > 0 else p1(c))
+
+    def left_out(lvl, m):
+        total = 0.0
+        for seq in train:
+            for a, b in zip(seq, seq[1:], strict=False):
+                if level1[a] == lvl:
+                    c1, c, c2 = expected(a, b)
+                    c1 = max(c1 - 1, 0)
+                    total += math.log10((min(max(c2 - 1, 0), c1) + m * p1(max(c - 1, 0))) / (c1 + m))
+        return total
+
+    used = {level1[a] for seq in train for a in seq[:-1]}
+    best = {lvl: [left_out(lvl, m) for m in lm.PRIORS] for lvl in used}
+    scores = Counter()
+    for doc, t in rows:
+        seq = [b"", *[(w or "").encode() for w in toks(t)]]
+        scores[doc, round(sum(math.log10(prob(a, b, model.prior)) for a, b in zip(seq, seq[1:], strict=False)), 6)] += 1
+    return best, scores
+
+
+def test_scores_and_priors_match_brute_force(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, got = lm.fit_and_score(df, held_out(F.col("doc_id"), 7, 2))
+    best, want = plain_scores(rows, model)
+    for lvl, sums in best.items():
+        assert sums[lm.PRIORS.index(model.prior[lvl])] == pytest.approx(max(sums), rel=1e-9)
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got.collect()) == want
+
+
+def test_fitting_and_scoring_at_once_is_fit_and_score(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, apart = run(df)
+    once, both = lm.fit_and_score(df, held_out(F.col("doc_id"), 7, 2))
+    assert (once.prior == model.prior).all()
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, apart))
+
+
+def test_counts_over_32_bits_and_long_words(spark):
+    many = spark.createDataFrame([(b"w", (1 << 32) + 5)], "token binary, n long")
+    built = lm._build(lm._unigram_parts(many, 56), 256, 2, None).first()
+    assert built.total == [(1 << 32) + 5]
+    long = "http" + "x" * 200
+    rows = [(i, f"{long} a{i}") for i in range(50)]
+    model, got = run(spark.createDataFrame(rows, "doc_id long, text string"), head=8)
+    assert len(model.long) == 1 and len(model.head) <= 8
+    assert {r.n_known for r in got if not r.held_out} == {3} and {r.n_known for r in got if r.held_out} == {2}
+
+
 def test_model_beats_the_base_on_held_out_text(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     _, got = run(df)
