@@ -6,6 +6,7 @@ import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,8 +67,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def by_bytes(batch, column: int, most: int = 4 << 20):
-    """Slices of an Arrow batch whose values in a binary column hold about ``most`` bytes, or are one row."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    """Slices of an Arrow batch whose values in a binary column hold ``most`` bytes, 64 a row included, or are one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64) + 64)
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
@@ -75,6 +76,31 @@ def by_bytes(batch, column: int, most: int = 4 << 20):
         at = end
 
 
+def in_bulk(batches, column: int, most: int = 4 << 20):
+    """Arrow batches joined, or cut, to about ``most`` bytes in a binary column each; none is empty."""
+    held, size = [], 0
+    for whole in batches:
+        for part in by_bytes(whole, column, most):
+            n = 64 * part.num_rows + (pc.sum(pc.binary_length(part.column(column))).as_py() or 0)
+            if held and size + n > most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of binary texts, A-Z lower-cased, end to end, and their number in each text."""
+    low = pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string()))
+    lists = pc.ascii_split_whitespace(low)
+    flat, at = lists.flatten().view(pa.binary()), lists.offsets.to_numpy()
+    full = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end, or more than one, gives empty words
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return flat.filter(full), np.diff(before[at - at[0]])
+
+
 def carried(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The text as bytes, then the columns that go on, for a Python worker.
 

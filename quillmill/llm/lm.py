@@ -40,6 +40,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 from math import ceil, log
 
 import numpy as np
@@ -48,7 +49,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import LOWER, by_bytes, materialise, small_batches
+from quillmill.llm.common import by_bytes, in_bulk, materialise, small_batches, split_words
 
 HEAD = 1 << 17
 #: Bytes of a word from which on the head holds its digest.
@@ -107,8 +108,19 @@ def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts.astype(np.float64)) / log(BASE) + 1e-9).astype(np.int64)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(LOWER).split()
+def sequence(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Texts end to end, each followed by the end token: numbers of its tokens in a list of distinct ones, and each text's end.
+
+    The end token is number 0 and stands before the first text too.
+    """
+    flat, sizes = split_words(texts)
+    coded = flat.dictionary_encode()
+    ends = np.cumsum(sizes + 1)
+    out = np.zeros(1 + len(flat) + len(sizes), np.int64)
+    words = np.ones(len(out), bool)
+    words[0] = words[ends] = False
+    out[words] = coded.indices.to_numpy().astype(np.int64) + 1
+    return out, [END, *coded.dictionary.to_pylist()], ends
 
 
 def _probe(keys: np.ndarray, lvl: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +152,9 @@ class Filter:
             a, d = _probe(k & _KEPT_BITS, lvl)
             for _ in range(PROBES):
                 at = start + ((a * bits) >> _U(32))
-                hit = (self.data[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
-                if not hit.all():
-                    alive, a, d, start, bits = alive[hit], a[hit], d[hit], start[hit], bits[hit]
+                hit = np.flatnonzero((self.data.take((at >> _U(3)).view(np.int64)) >> (at & _U(7)).astype(np.uint8)) & np.uint8(1))
+                if len(hit) < len(alive):
+                    alive, a, d, start, bits = (x.take(hit) for x in (alive, a, d, start, bits))
                     if not len(alive):
                         break
                 a = (a + d) & _LOW
@@ -238,19 +250,23 @@ def _vocabulary(train: DataFrame) -> DataFrame:
     """(token, n) of the training words, and of the end token as the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update(tokens(t))
-            c[END] += b.num_rows
-            if len(c) > KEPT:
-                yield _rows(c)
-                c = Counter()
-        if c:
-            yield _rows(c)
-
-    def _rows(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], names=["token", "n"])
+        held, size = [], 0
+        for b in in_bulk(batches, 0):
+            seen = split_words(b.column(0))[0].value_counts()
+            held += [pa.table([seen.field(0), seen.field(1)], names=["token", "n"]), pa.table({"token": pa.array([END], pa.binary()), "n": [b.num_rows]})]
+            size += len(seen)
+            if size > 2 * KEPT:
+                held = [summed(held)]
+                size = held[0].num_rows
+                if size > KEPT:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from summed(held).to_batches()
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        got = pa.concat_tables(tables).group_by("token").aggregate([("n", "sum")])
+        return pa.table([got.column("token"), got.column("n_sum")], names=["token", "n"])
 
     parts = train.select("t").mapInArrow(run, "token binary, n long")
     return parts.groupBy("token").agg(F.sum("n").alias("n"))
@@ -277,8 +293,6 @@ _PARTS = "seg long, ord int, keys binary, counts binary"
 
 def _bigram_parts(train: DataFrame, shift: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        hashes = np.zeros(0, np.uint64)
         held: list[np.ndarray] = []
         rows = 0
 
@@ -286,17 +300,9 @@ def _bigram_parts(train: DataFrame, shift: int) -> DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             return _segments_of(keys, n, 2, shift)
 
-        for b in (part for whole in batches for part in by_bytes(whole, 0)):
-            seq: list[bytes] = [END]
-            for t in b.column(0).to_pylist():
-                seq += tokens(t)
-                seq.append(END)
-            if len(known) > KEPT:
-                known, hashes = {}, np.zeros(0, np.uint64)
-            new = list(set(seq).difference(known))
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            hashes = np.concatenate([hashes, word_hash(new)])
-            h = hashes[np.fromiter(map(known.__getitem__, seq), np.int64, len(seq))]
+        for b in in_bulk(batches, 0):
+            seq, words, _ = sequence(b.column(0))
+            h = word_hash(words)[seq]
             held.append(bigram_key(h[:-1], h[1:]))
             rows += len(h) - 1
             if rows >= CHUNK:
@@ -487,21 +493,23 @@ class Scorer:
         self.l1 = np.zeros(0, np.int64)  # level, 0 if not in the filter
         self.exact = np.zeros(0, np.int64)  # count of a head word, else -1
 
-    def learn(self, seq: list[bytes]) -> np.ndarray:
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words."""
         if len(self.known) > KEPT:
             self.clear()
-        new = list(set(seq).difference(self.known))
+        new = list(set(words).difference(self.known))
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.words += new
             h = word_hash(new)
             lvl = self.m.filter.levels(unigram_key(h))
-            short, long = self.m.head.get, self.m.long.get
-            exact = (short(w, -1) if len(w) <= HEAD_WORD else long(hashlib.md5(w).digest(), -1) for w in new)
+            exact = np.fromiter(map(self.m.head.get, new, repeat(-1)), np.int64, len(new))
+            for i in np.flatnonzero(np.fromiter(map(len, new), np.int64, len(new)) > HEAD_WORD).tolist():
+                exact[i] = self.m.long.get(hashlib.md5(new[i]).digest(), -1)
             self.hash = np.concatenate([self.hash, h])
             self.l1 = np.concatenate([self.l1, lvl])
-            self.exact = np.concatenate([self.exact, np.fromiter(exact, np.int64, len(new))])
-        return np.fromiter(map(self.known.__getitem__, seq), np.int64, len(seq))
+            self.exact = np.concatenate([self.exact, exact])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def bigrams(self, at: np.ndarray) -> np.ndarray:
         """Levels of a sequence's bigrams, 0 if one of their words is not in the filter."""
@@ -513,13 +521,9 @@ class Scorer:
 
     def rows(self, b: pa.RecordBatch) -> pa.RecordBatch:
         """What the (row, doc_id, held_out, t) of a batch come to: ``LOOKED``."""
-        seq: list[bytes] = [END]
-        cut = [1]
-        for t in b.column(3).to_pylist():
-            seq += tokens(t)
-            seq.append(END)
-            cut.append(len(seq))
-        at = self.learn(seq)
+        seq, words, ends = sequence(b.column(3))
+        at = self.learn(words)[seq]
+        cut = np.concatenate([[1], ends + 1]).tolist()
         l1, l2 = self.l1[at].astype(np.uint8), self.bigrams(at).astype(np.uint8)
         exact = self.exact[at]
         base = np.log10((np.maximum(exact, 0) + 1) / self.m.unit)
@@ -556,9 +560,8 @@ def _looked(docs: DataFrame, held: Column, model: Model, text: str, doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(shared.value)
-        for b in batches:
-            for part in by_bytes(b, 3):
-                yield s.rows(part)
+        for b in in_bulk(batches, 3):
+            yield s.rows(b)
 
     return src.mapInArrow(run, LOOKED)
 
@@ -571,11 +574,10 @@ def _look_up_by_join(src: DataFrame, model: Model) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, seen = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            chunk = []
-            for t in b.column(3).to_pylist():
-                chunk.append(first + seen // ASKING)
-                seen += len(tokens(t)) + 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunk, pa.int64())], names=[*b.schema.names, "chunk"])
+            sizes = np.concatenate([split_words(part.column(3))[1] + 1 for part in by_bytes(b, 3)] or [np.zeros(0, np.int64)])
+            before = seen + np.cumsum(sizes) - sizes
+            seen += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + before // ASKING)], names=[*b.schema.names, "chunk"])
 
     # chunks are numbered once: both sides of the join read the same ones
     texts = materialise(src.mapInArrow(number, "row long, doc_id long, held_out boolean, t binary, chunk long"), "lm-chunks")
@@ -600,15 +602,11 @@ def _look_up_by_join(src: DataFrame, model: Model) -> DataFrame:
                     yield from close()
                     held = []
                 now = int(chunk[a])
-                seq: list[bytes] = [END]
-                for t in b.column(1).slice(a, z - a).to_pylist():
-                    seq += tokens(t)
-                    seq.append(END)
-                words = list(set(seq))
-                at = dict(zip(words, range(len(words)), strict=True))
-                h = word_hash(words)
-                row = h[np.fromiter(map(at.__getitem__, seq), np.int64, len(seq))]
-                held.append(np.unique(np.concatenate([unigram_key(h), bigram_key(row[:-1], row[1:])])))
+                for part in by_bytes(b.slice(a, z - a), 1):
+                    seq, words, _ = sequence(part.column(1))
+                    h = word_hash(words)
+                    row = h[seq]
+                    held.append(np.unique(np.concatenate([unigram_key(h), bigram_key(row[:-1], row[1:])])))
         if held:
             yield from close()
 

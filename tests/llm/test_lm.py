@@ -4,11 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillmill.llm import lm
-from quillmill.llm.common import held_out
+from quillmill.llm.common import LOWER, held_out, in_bulk, split_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -33,6 +34,18 @@ def rows():
     return [*out, (900, None), (901, ""), (902, " \n"), (903, "x" * 50_000), (903, "x" * 50_000), (None, "W1é w2É")]
 
 
+def test_words_of_any_bytes():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.choice(list(b"aB \t\n\x0b\x0c\r\x1c\x1f\x00\x85\xa0\xff\xc3\xa9Z"), rng.integers(0, 30)).tolist()) for _ in range(3000)] + [None, b"", b"  "]
+    want = [re.findall(rb"[^\x20\x09-\x0D]+", (t or b"").translate(LOWER)) for t in texts]
+    for at in (0, 17):
+        words, sizes = split_words(pa.array(texts, pa.binary()).slice(at))
+        assert words.to_pylist() == [w for ws in want[at:] for w in ws] and sizes.tolist() == [len(ws) for ws in want[at:]]
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["t"])
+    parts = list(in_bulk([whole.slice(0, 5), whole.slice(5, 0), whole.slice(5)], 0, 999))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == texts and max(p.num_rows for p in parts) < 30
+
+
 def test_base_score_and_counts_match_brute_force(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = [toks(t) for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
