@@ -6,11 +6,11 @@ piece that fits its gap. If a gap is left, the bin's smallest piece is taken
 out again and two unpacked pieces that fill the wider gap more tightly take its
 place, for as long as that gains.
 
-Pieces are dealt round-robin into groups of ``GROUP_TOKENS`` and each group is
-packed by itself: every group but for its last bins is as tight as one packing
-of all, and no task holds more than a group. Lengths are few, so a packing works
-on counts by length. The task that packs a group puts its sequences together, so
-ids are shuffled once.
+Pieces are dealt round-robin into groups, one for each ``GROUP_BYTES`` of text,
+and each group is packed by itself: every group but for its last bins is as
+tight as one packing of all, and no task holds more than a group. Lengths are
+few, so a packing works on counts by length. The task that packs a group puts
+its sequences together, so ids are shuffled once, and written once, packed.
 
 Defined results: a null or empty text is its end id alone, a piece of length
 1; repeated rows are packed one by one; an empty table gives no pieces and no
@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import materialise, small_batches
+from quillmill.llm.common import in_bulk, small_batches
 from quillmill.llm.tokens import encoder
 
 CAPACITY = 2048
-#: Tokens that one task packs: 64 MB of ids.
-GROUP_TOKENS = 1 << 24
+#: Text of the pieces that one task packs; thousands of sequences, and at most a token a byte.
+GROUP_BYTES = 64 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
 SEQUENCE = "sequence_id long, ids array<int>, doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<long>"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -47,18 +47,20 @@ def cut(n: int, capacity: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
-    """One row per piece, with its ids as little-endian unsigned 32-bit integers."""
+    """One row per piece, with its ids as little-endian unsigned integers of 16 bits, or 32 if the vocabulary needs them."""
     small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer, spaced), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        wide = enc.width if end_id < 1 << 16 else 4
+        for b in in_bulk(batches, 1):
             rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or b"" for t in b.column(1).to_pylist()]), strict=True):
-                ids, at = ids + end, 0
-                for k, n in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc, k, at, n, ids[4 * at : 4 * (at + n)]))
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
+                own, at = np.frombuffer(ids + end, "<u4"), 0
+                raw = own.astype(f"<u{wide}").tobytes()
+                for k, n in enumerate(cut(len(own), capacity)):
+                    rows.append((doc, k, at, n, raw[wide * at : wide * (at + n)]))
                     at += n
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -135,10 +137,13 @@ def _tightest_pair(mask: int, left: list[int], room: int, least: int) -> list[in
     return found
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def groups_of(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES) -> int:
+    """How many groups the pieces of the documents are packed in."""
+    return max(1, ceil((docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) / group_bytes))
+
+
+def pack(parts: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """The sequences: their ids, and of each piece in them, in order, its document, number, start and length."""
-    parts = materialise(parts, "pieces")
-    groups = max(1, ceil((parts.agg(F.sum("length")).first()[0] or 0) / group_tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -153,8 +158,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_T
         for at in range(0, len(first) - 1, 1000):
             ends = first[at : at + 1001]
             own = rows.take(pa.array(order[ends[0] : ends[-1]])).combine_chunks()
-            ids = np.frombuffer(b"".join(own.column("ids").to_pylist()), "<i4")
-            sizes = own.column("length").to_numpy()
+            raw, sizes = b"".join(own.column("ids").to_pylist()), own.column("length").to_numpy()
+            ids = np.frombuffer(raw, f"<u{len(raw) // int(sizes.sum())}").astype(np.int32)
             place = pa.array((ends - ends[0]).astype(np.int32))
             token = pa.array(np.concatenate([[0], np.cumsum(sizes)])[ends - ends[0]].astype(np.int32))
             lists = [own.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "length")]

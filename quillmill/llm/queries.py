@@ -40,7 +40,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = packing.pack(packing.pieces(docs, "byte_bpe_50k.json", end_id=0, spaced=True))
+    made = packing.pack(packing.pieces(docs, "byte_bpe_50k.json", end_id=0, spaced=True), packing.groups_of(docs))
     return packing.digest(materialise(made, "sequences"))
 
 

@@ -45,7 +45,7 @@ HOT_SHARE = 1024
 #: An overflow is summed in this many lanes, and equal rows in as many.
 LANES = 4096
 #: Bytes of shards that are written by one task.
-TASK_BYTES = 128 << 20
+TASK_BYTES = 32 << 20
 
 
 def row_bytes(text: Column, overhead: int = 32) -> Column:

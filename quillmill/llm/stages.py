@@ -73,4 +73,4 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is its end id alone.
     """
-    return packing.pack(packing.pieces(docs, "byte_bpe_50k.json", end_id=0, spaced=True))
+    return packing.pack(packing.pieces(docs, "byte_bpe_50k.json", end_id=0, spaced=True), packing.groups_of(docs))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import materialise, small_batches
+from quillmill.llm.common import in_bulk, materialise, small_batches
 from quillmill.llm.tokens import encoder
 
 SCHEMA = "doc_id long, part int, seq long, ids array<int>"
@@ -56,8 +56,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced: bool,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, enc, end = TaskContext.get().partitionId(), 0, encoder(tokenizer, spaced), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            ids = [i + end for i in enc.encode([t or b"" for t in b.column(1).to_pylist()])]
+        for b in in_bulk(batches, 1):
+            ids = [i + end for i in enc.encode(b.column(1))]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             values = np.frombuffer(b"".join(ids), "<i4")
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

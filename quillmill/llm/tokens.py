@@ -3,19 +3,20 @@
 The tokenizers library gives every id. A text is cut at spaces where a cut
 can't change the ids, each distinct piece is encoded once by a worker and its
 ids are kept; texts in which such a cut isn't sure are encoded whole. So are
-texts that hold the string of an added token, which has an id of its own.
+texts that hold the string of an added token, which has an id of its own. Texts
+are split, pieces numbered and their ids laid end to end by Arrow, so Python
+sees distinct pieces only.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
 from array import array
 
 import numpy as np
-
-from quillmill.llm.common import LOWER
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces kept by a worker: about 150 bytes each.
 KEPT = 1_200_000
@@ -23,7 +24,7 @@ KEPT = 1_200_000
 NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
 _ENCODERS: dict = {}
 #: Punctuation that is a token part of its own after a word.
-MARKS = b".,;:!?"
+MARKS = ".,;:!?"
 #: Latin letters are split, composed and lower-cased alike everywhere; other text takes the long way.
 LATIN = "\u00ff"
 
@@ -42,6 +43,11 @@ def _visible_bytes() -> list[str]:
 VISIBLE = _visible_bytes()
 
 
+def _with(texts: pa.Array, part: bytes) -> np.ndarray:
+    """Which of the texts hold these bytes."""
+    return pc.match_substring(texts, part).to_numpy(zero_copy_only=False)
+
+
 class PieceEncoder:
     """Text bytes to ids, as little-endian unsigned 32-bit integers.
 
@@ -61,96 +67,109 @@ class PieceEncoder:
 
             path = public_tokenizers.path(name)
         self.tok = Tokenizer.from_file(path)
-        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         # in any case: lower-casing a text must not make one
-        self.added = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
-        self.model = self.tok.model
+        self.added = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
         self.spaced, self.kept = spaced, kept
-        marks = [bytes([m]) for m in MARKS]
-        self.marks = {b"": b"", **dict(zip(marks, self.whole([m.decode() for m in marks]), strict=True))}
+        #: Bytes that the largest id takes.
+        self.width = 2 if max(self.tok.get_vocab().values(), default=0) < 1 << 16 else 4
+        self.lead = VISIBLE[32] if spaced else ""
+        self.marks = dict(zip(MARKS, self.whole(list(MARKS)), strict=True))
         self.first: dict[bytes, bytes | None] = {}
-        self.rest: dict[bytes, bytes | None] = {} if spaced else self.first
+        self.rest: dict[bytes, bytes | None] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        if NATIVE:
-            return [array("I", e.ids).tobytes() for e in found]
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [_bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, text: bytes) -> bytes:
-        """The text, in lower case if the tokenizer lowers it anyway, so that fewer pieces differ.
+    def _words(self, texts: list[str], lead: str) -> list[bytes | None]:
+        """The ids of words of Latin letters, with one mark after them or not, straight from the model; None for others.
 
-        Not with combining marks: some compose with a small letter only.
+        Such a word is one pre-token, so the model alone decides; after a letter
+        a mark begins another.
         """
-        return text if self.spaced or b"\xcc" in text or b"\xcd" in text else text.translate(LOWER)
-
-    def _word(self, word: bytes, lead: str) -> bytes | None:
-        """The ids of a word of Latin letters, straight from the model; None for anything else.
+        out: list[bytes | None] = []
+        tokenize, marks, lower = self.tok.model.tokenize, self.marks, not self.spaced
+        for text in texts:
+            word, mark = (text[:-1], marks[text[-1]]) if text[-1:] in marks else (text, b"")
+            if not word.isalpha():
+                out.append(None)
+                continue
+            if not word.isascii():
+                if max(word) > LATIN:
+                    out.append(None)
+                    continue
+                word = "".join([VISIBLE[b] for b in (word.lower() if lower else word).encode()])
+            elif lower:
+                word = word.lower()
+            out.append(_bytes([t.id for t in tokenize(lead + word)]) + mark)
+        return out
 
-        Such a word is one pre-token, so the model alone decides.
-        """
-        text = word.decode("utf-8", "replace")
-        if not text.isalpha() or (not text.isascii() and max(text) > LATIN):
-            return None
-        if not self.spaced:
-            text = text.lower()
-        seen = lead + text
-        if not seen.isascii() or lead:
-            seen = "".join([VISIBLE[b] for b in seen.encode()])
-        ids = [t.id for t in self.model.tokenize(seen)]
-        return array("I", ids).tobytes() if NATIVE else np.array(ids, "<u4").tobytes()
-
-    def _learn(self, kept: dict[bytes, bytes | None], pieces: set[bytes], lead: str) -> None:
-        rest: list[bytes] = []
-        for p in pieces.difference(kept):
-            # a word, or a word and one mark, whose ids follow the word's
-            word, mark = (p[:-1], p[-1:]) if p[-1:] and p[-1:] in MARKS else (p, b"")
-            # after a letter or digit a mark begins a pre-token
-            ids = kept.get(word) if mark and word[-1:].isalnum() else None
-            if ids is None:
-                ids = self._word(word, lead)
-            if ids is None:
-                rest.append(p)
-            else:
-                kept[p] = ids + self.marks[mark]
-        if not rest:
-            return
-        rest.sort()
-        texts = [p.decode("utf-8", "replace") for p in rest]
+    def _learn(self, kept: dict[bytes, bytes | None], pieces: list[bytes], lead: str) -> None:
+        """Keeps the ids of the pieces, or None where a cut isn't sure."""
+        new = list(set(pieces).difference(kept))
+        texts = [p.decode("utf-8", "replace") for p in new]
+        kept.update(zip(new, self._words(texts, lead), strict=True))
+        rest = [(p, t) for p, t in zip(new, texts, strict=True) if kept[p] is None]
         if self.spaced:
             # a cut is sure only between characters that aren't white space
-            sure = [bool(t) and not t[0].isspace() and not t[-1].isspace() for t in texts]
-        else:
-            sure = [True] * len(texts)
-        ids_of = self.whole([lead + t if s else "" for t, s in zip(texts, sure, strict=True)])
-        kept.update(zip(rest, [i if s else None for i, s in zip(ids_of, sure, strict=True)], strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+            rest = [(p, t) for p, t in rest if t and not t[-1].isspace() and not (lead and t[0].isspace())]
+        found = self.whole([(" " if lead else "") + t for _, t in rest])
+        kept.update(zip([p for p, _ in rest], found, strict=True))
+
+    def _ids(self, kept: dict[bytes, bytes | None], pieces: pa.Array, lead: str) -> tuple[memoryview, np.ndarray, np.ndarray]:
+        """The ids of pieces end to end, where each begins and the last ends, and how many up to each weren't sure."""
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self._learn(kept, names, lead)
+        found = pa.array(map(kept.__getitem__, names), pa.large_binary(), size=len(names))
+        unsure = found.is_null().take(coded.indices).to_numpy(zero_copy_only=False)
+        own = found.take(coded.indices)
+        raw = own.buffers()[2]
+        at = np.frombuffer(own.buffers()[1], np.int64)[: len(own) + 1] if len(own) else np.zeros(1, np.int64)
+        return memoryview(raw) if raw is not None else memoryview(b""), at, np.concatenate([[0], np.cumsum(unsure)])
+
+    def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
         if len(self.first) + len(self.rest) > self.kept:
             self.first.clear()
             self.rest.clear()
-        has = self.added.search if self.added else lambda t: None
-        cut = [(self._plain(t).split(b" ") if not has(t) else None) if t else [] for t in texts]
+        own = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()), b"")
+        if not len(own):
+            return []
+        text = own.view(pa.string())
+        low = pc.ascii_lower(text)
+        apart = np.zeros(len(own), bool)
+        for token in self.added:
+            apart |= _with(low, token)
+        if not self.spaced:
+            # what lowers every text anyway gets it in lower case, so that fewer pieces differ;
+            # not with combining marks: some compose with a small letter only
+            marks = _with(own, b"\xcc") | _with(own, b"\xcd")
+            text = pc.if_else(pa.array(marks), text, low)
+        lists = pc.split_pattern(text, " ")
+        flat, ends = lists.flatten().view(pa.binary()), lists.offsets.to_numpy()
+        ends = ends - ends[0]
         if self.spaced:
-            self._learn(self.first, {p[0] for p in cut if p}, "")
-            self._learn(self.rest, set().union(*[p[1:] for p in cut if p]), " ")
-        else:
-            self._learn(self.rest, set().union(*[p for p in cut if p]), "")
-        out, get = [], self.rest.__getitem__
-        for text, pieces in zip(texts, cut, strict=True):
-            if not pieces:
-                out.append(b"" if pieces is not None else self.whole([text.decode("utf-8", "replace")])[0])
-                continue
-            try:
-                if self.spaced:
-                    out.append(self.first[pieces[0]] + b"".join(map(get, pieces[1:])))
-                else:
-                    out.append(b"".join(map(get, pieces)))
-            except TypeError:  # a piece whose cut isn't sure
-                out.append(self.whole([text.decode("utf-8", "replace")])[0])
+            head, head_at, head_unsure = self._ids(self.first, flat.take(pa.array(ends[:-1])), "")
+            inner = np.ones(len(flat), bool)
+            inner[ends[:-1]] = False
+            flat, ends = flat.filter(pa.array(inner)), ends - np.arange(len(ends))
+        data, at, unsure = self._ids(self.rest, flat, self.lead)
+        unsure = unsure[ends[1:]] > unsure[ends[:-1]]
+        cut = at[ends].tolist()
+        out = [data[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        if self.spaced:
+            first = head_at.tolist()
+            out = [head[x:y].tobytes() + o for x, y, o in zip(first[:-1], first[1:], out, strict=True)]
+            unsure |= np.diff(head_unsure) > 0
+        todo = np.flatnonzero(apart | unsure).tolist()
+        for i, ids in zip(todo, self.whole([own[i].as_py().decode("utf-8", "replace") for i in todo]), strict=True):
+            out[i] = ids
         return out
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if NATIVE else np.array(ids, "<u4").tobytes()
+
+
 def encoder(name: str, spaced: bool) -> PieceEncoder:
     """The worker's encoder of this file."""
     if (name, spaced) not in _ENCODERS:

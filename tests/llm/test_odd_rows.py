@@ -49,7 +49,7 @@ def test_operators(spark, odd, tmp_path, empty):
     check(rule_ledger.ablations(led, rule_ledger.STANDARD))
     token_files.write(docs, str(tmp_path / "ids"), "word_bpe_49k.json", 1, False)
     check(token_files.digest(spark, str(tmp_path / "ids")), n)
-    placed = check(packing.digest(packing.pack(packing.pieces(docs, "byte_bpe_50k.json", 0, True))))
+    placed = check(packing.digest(packing.pack(packing.pieces(docs, "byte_bpe_50k.json", 0, True), 2)))
     assert sum(r.length for r in placed if r.start == 0) <= sum(r.length for r in placed) and sum(r.piece == 0 for r in placed) == n
     labels = spark.createDataFrame([(-3, 1), (-3, 0), (-3, None), (None, 1), (-1, 0), (10**12, 1)], "doc_id long, quality int")
     judged = check(quality.predict(docs, quality.fit(docs, labels)), n)
@@ -101,7 +101,7 @@ def test_ids_of_bad_utf8_and_long_texts(spark, odd):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = {r.doc_id: bytes(r.t or b"").decode("utf-8", "replace") for r in odd.select("doc_id", F.col("text").cast("binary").alias("t")).where("doc_id < 0").collect()}
     by = {}
-    for r in packing.digest(packing.pack(packing.pieces(odd.where("doc_id < 0 and doc_id <> -3"), "byte_bpe_50k.json", 0, True))).collect():
+    for r in packing.digest(packing.pack(packing.pieces(odd.where("doc_id < 0 and doc_id <> -3"), "byte_bpe_50k.json", 0, True), 1)).collect():
         by.setdefault(r.doc_id, []).append(r)
     for doc, rows in by.items():
         ids = np.array([*tok.encode(texts[doc], add_special_tokens=False).ids, 0], "<u4")

@@ -82,7 +82,7 @@ def test_best_two_fit_packs_tightly():
 def test_pieces_and_packs_of_documents(spark):
     rows, df = _docs(spark)
     parts = packing.pieces(df, "byte_bpe_50k.json", 0, True, capacity=64)
-    seqs = packing.pack(parts, capacity=64, group_tokens=2000)
+    seqs = packing.pack(parts, packing.groups_of(df, group_bytes=2000), capacity=64)
     seqs = spark.createDataFrame(seqs.collect(), seqs.schema)
     got = packing.digest(seqs).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -117,5 +117,5 @@ def test_pieces_and_packs_of_documents(spark):
 
 def test_packing_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    made = packing.pack(packing.pieces(empty, "byte_bpe_50k.json", 0, True))
+    made = packing.pack(packing.pieces(empty, "byte_bpe_50k.json", 0, True), packing.groups_of(empty))
     assert made.count() == 0 and packing.digest(made).count() == 0
