@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import in_bulk, small_batches
-from quillmill.llm.tokens import encoder
+from quillmill.llm.tokens import encoder, forget
 
 CAPACITY = 2048
 #: Text of the pieces that one task packs; thousands of sequences, and at most a token a byte.
 GROUP_BYTES = 64 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
-SEQUENCE = "sequence_id long, ids array<int>, doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<long>"
+#: Ids of a sequence are little-endian unsigned integers, as those of its pieces.
+SEQUENCE = "sequence_id long, ids binary, doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<long>"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -70,6 +71,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool, capacity:
     return src.mapInArrow(run, PIECE)
 
 
+def ids_of(raw: bytes, length: int) -> np.ndarray:
+    """The ids in the bytes of a sequence or a piece of so many tokens."""
+    return np.frombuffer(raw, f"<u{len(raw) // length}")
+
+
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece; lengths are from 1 to the capacity."""
     order = np.argsort(lengths, kind="stable")
@@ -149,7 +155,9 @@ def pack(parts: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rows = pa.Table.from_batches(held)
+        forget()
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
         bins, offset = best_two_fit(rows.column("length").to_numpy(), capacity)
         order = np.lexsort((offset, bins))
         bins = bins[order]
@@ -158,12 +166,13 @@ def pack(parts: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         for at in range(0, len(first) - 1, 1000):
             ends = first[at : at + 1001]
             own = rows.take(pa.array(order[ends[0] : ends[-1]])).combine_chunks()
-            raw, sizes = b"".join(own.column("ids").to_pylist()), own.column("length").to_numpy()
-            ids = np.frombuffer(raw, f"<u{len(raw) // int(sizes.sum())}").astype(np.int32)
-            place = pa.array((ends - ends[0]).astype(np.int32))
-            token = pa.array(np.concatenate([[0], np.cumsum(sizes)])[ends - ends[0]].astype(np.int32))
+            place = ends - ends[0]
+            ids = own.column("ids").combine_chunks()
+            # the pieces' bytes are end to end already: a sequence is those between its first and its last
+            joined = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset :][place]
+            place = pa.array(place.astype(np.int32))
             lists = [own.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "length")]
-            cols = [pa.array(bins[ends[:-1]] + number), pa.ListArray.from_arrays(token, pa.array(ids))]
+            cols = [pa.array(bins[ends[:-1]] + number), pa.Array.from_buffers(pa.binary(), len(place) - 1, [None, pa.py_buffer(joined.copy()), ids.buffers()[2]])]
             cols += [pa.ListArray.from_arrays(place, c) for c in lists]
             yield pa.RecordBatch.from_arrays(cols, names=["sequence_id", "ids", "doc_ids", "pieces", "starts", "lengths"])
 
@@ -177,15 +186,16 @@ def digest(sequences: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            values = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False), "<u4")
+            raw = b"".join(b.column(1).to_pylist())
             docs, number, start, length = (b.column(k).flatten() for k in range(2, 6))
             sizes = length.to_numpy()
             end = np.cumsum(sizes)
             at = end - sizes
-            view = memoryview(values).cast("B")
+            view = memoryview(np.frombuffer(raw, f"<u{len(raw) // int(end[-1])}").astype("<u4")).cast("B")
             crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(at.tolist(), end.tolist(), strict=True)]
-            per = np.diff(b.column(5).offsets.to_numpy())
-            tokens = np.diff(b.column(1).offsets.to_numpy())
+            places = b.column(5).offsets.to_numpy()
+            per = np.diff(places)
+            tokens = np.diff(np.concatenate([[0], end])[places - places[0]])
             cols = [
                 docs, number, start, length, pa.array(crc, pa.int64()), pa.array(np.repeat(b.column(0).to_numpy(), per)),
                 pa.array(at - np.repeat(np.cumsum(tokens) - tokens, per)),

@@ -11,6 +11,7 @@ sees distinct pieces only.
 from __future__ import annotations
 
 import os
+import re
 import sys
 from array import array
 
@@ -18,15 +19,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept by a worker: about 150 bytes each.
-KEPT = 1_200_000
+#: Pieces kept by a worker: about 250 bytes each.
+KEPT = 800_000
 #: Whether an array of unsigned integers has the layout that ids are kept in.
 NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
 _ENCODERS: dict = {}
-#: Punctuation that is a token part of its own after a word.
-MARKS = ".,;:!?"
-#: Latin letters are split, composed and lower-cased alike everywhere; other text takes the long way.
-LATIN = "\u00ff"
+#: Letters that are split, composed and lower-cased alike everywhere, and punctuation but for the apostrophe, which
+#: may begin a token with letters in it. Each run of one kind is a pre-token; other text takes the long way.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+SIGNS = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
+WORD = re.compile(f"[{LETTERS}]+")
+#: A word with signs after it, and perhaps a line's end and another such word.
+WORDS = re.compile(f"([{LETTERS}]+)([{SIGNS}]*)(?:\n([{LETTERS}]+)([{SIGNS}]*))?")
 
 
 def _visible_bytes() -> list[str]:
@@ -73,42 +77,50 @@ class PieceEncoder:
         #: Bytes that the largest id takes.
         self.width = 2 if max(self.tok.get_vocab().values(), default=0) < 1 << 16 else 4
         self.lead = VISIBLE[32] if spaced else ""
-        self.marks = dict(zip(MARKS, self.whole(list(MARKS)), strict=True))
+        self.signs: dict[str, bytes] = {"": b""}
+        self.line = self.whole(["\n"])[0]
         self.first: dict[bytes, bytes | None] = {}
-        self.rest: dict[bytes, bytes | None] = {}
+        self.rest: dict[bytes, bytes | None] = {} if spaced else self.first
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [_bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, texts: list[str], lead: str) -> list[bytes | None]:
-        """The ids of words of Latin letters, with one mark after them or not, straight from the model; None for others.
-
-        Such a word is one pre-token, so the model alone decides; after a letter
-        a mark begins another.
-        """
-        out: list[bytes | None] = []
-        tokenize, marks, lower = self.tok.model.tokenize, self.marks, not self.spaced
-        for text in texts:
-            word, mark = (text[:-1], marks[text[-1]]) if text[-1:] in marks else (text, b"")
-            if not word.isalpha():
-                out.append(None)
-                continue
-            if not word.isascii():
-                if max(word) > LATIN:
-                    out.append(None)
-                    continue
-                word = "".join([VISIBLE[b] for b in (word.lower() if lower else word).encode()])
-            elif lower:
-                word = word.lower()
-            out.append(_bytes([t.id for t in tokenize(lead + word)]) + mark)
-        return out
+    def _word(self, word: str, lead: str) -> bytes:
+        """The ids of a run of letters, straight from the model: it is one pre-token."""
+        if not self.spaced:
+            word = word.lower()
+        if not word.isascii():
+            word = "".join([VISIBLE[b] for b in word.encode()])
+        return _bytes([t.id for t in self.tok.model.tokenize(lead + word)])
+
+    def _run(self, signs: str) -> bytes:
+        """The ids of a run of signs."""
+        ids = self.signs.get(signs)
+        if ids is None:
+            ids = self.signs[signs] = self.whole([signs])[0]
+        return ids
 
     def _learn(self, kept: dict[bytes, bytes | None], pieces: list[bytes], lead: str) -> None:
         """Keeps the ids of the pieces, or None where a cut isn't sure."""
         new = list(set(pieces).difference(kept))
         texts = [p.decode("utf-8", "replace") for p in new]
-        kept.update(zip(new, self._words(texts, lead), strict=True))
-        rest = [(p, t) for p, t in zip(new, texts, strict=True) if kept[p] is None]
+        word, words, some, rest = WORD.fullmatch, WORDS.fullmatch, [], []
+        for p, t in zip(new, texts, strict=True):
+            if word(t):
+                kept[p] = self._word(t, lead)
+            else:
+                some.append((p, t))
+        for p, t in some:
+            m = words(t)
+            if m is None:
+                rest.append((p, t))
+                continue
+            a, x, b, y = m.groups()
+            ids = (kept.get(a.encode()) or self._word(a, lead)) + self._run(x)
+            if b:
+                ids += self.line + (self.first.get(b.encode()) or self._word(b, "")) + self._run(y)
+            kept[p] = ids
+        kept.update((p, None) for p, _ in rest)
         if self.spaced:
             # a cut is sure only between characters that aren't white space
             rest = [(p, t) for p, t in rest if t and not t[-1].isspace() and not (lead and t[0].isspace())]
@@ -131,6 +143,7 @@ class PieceEncoder:
         if len(self.first) + len(self.rest) > self.kept:
             self.first.clear()
             self.rest.clear()
+            self.signs = {"": b""}
         own = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()), b"")
         if not len(own):
             return []
@@ -170,6 +183,11 @@ def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if NATIVE else np.array(ids, "<u4").tobytes()
 
 
+def forget() -> None:
+    """Frees what the worker's encoders keep, once its next work needs none."""
+    _ENCODERS.clear()
+
+
 def encoder(name: str, spaced: bool) -> PieceEncoder:
     """The worker's encoder of this file."""
     if (name, spaced) not in _ENCODERS:

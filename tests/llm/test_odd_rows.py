@@ -80,7 +80,7 @@ def test_stages(spark, odd, empty):
     mixed = stages.mix_sources(spark, docs, DATA)
     assert mixed.columns == docs.columns and set(map(repr, check(mixed))) <= set(map(repr, docs.collect()))
     packed = check(stages.pack(spark, docs, DATA))
-    assert sum(r.pieces.count(0) for r in packed) == n and all(len(r.ids) <= 2048 for r in packed)
+    assert sum(r.pieces.count(0) for r in packed) == n and all(sum(r.lengths) <= 2048 and len(r.ids) == 2 * sum(r.lengths) for r in packed)
     one = sorted(x for r in packed for x in r.doc_ids if x is not None)
     assert set(one) == {r.doc_id for r in docs.collect() if r.doc_id is not None}
 
