@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import in_bulk, small_batches
-from quillmill.llm.tokens import encoder, forget
+from quillmill.llm.tokens import BULK, encoder, forget
 
 CAPACITY = 2048
 #: Text of the pieces that one task packs; thousands of sequences, and at most a token a byte.
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool, capacity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer, spaced), np.array([end_id], "<u4").tobytes()
         wide = enc.width if end_id < 1 << 16 else 4
-        for b in in_bulk(batches, 1):
+        for b in in_bulk(batches, 1, BULK):
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 own, at = np.frombuffer(ids + end, "<u4"), 0

@@ -25,11 +25,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import in_bulk, materialise, small_batches
-from quillmill.llm.tokens import encoder
+from quillmill.llm.tokens import BULK, encoder, forget
 
 SCHEMA = "doc_id long, part int, seq long, ids array<int>"
-#: Text bytes of a file.
+#: Text bytes of a file, and files whose totals are summed together.
 FILE_BYTES = 64 << 20
+FILES = 4096
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -56,7 +57,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced: bool,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, enc, end = TaskContext.get().partitionId(), 0, encoder(tokenizer, spaced), np.array([end_id], "<u4").tobytes()
-        for b in in_bulk(batches, 1):
+        for b in in_bulk(batches, 1, BULK):
             ids = [i + end for i in enc.encode(b.column(1))]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             values = np.frombuffer(b"".join(ids), "<i4")
@@ -81,12 +82,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files.
 
-    Prefix sums need no single task: totals of the files (one row each) give a
-    file's start, a window inside the file the rest.
+    Prefix sums need no single task: totals of blocks of files, then of the
+    files in a block, give a file's start, a window inside the file the rest.
+    Documents meet their file's start in a join on the file, which its size bounds.
     """
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             lists = b.column(3)
             values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<u4")
@@ -99,16 +102,16 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     rows = materialise(
         read(spark, path).mapInArrow(run, "doc_id long, part int, seq long, n_tokens long, ids_crc32 long"), "token-digest"
     )
-    totals = sorted(rows.groupBy("part").agg(F.sum("n_tokens")).collect())  # one row a file
-    starts, at = [], 0
-    for part, n in totals:
-        starts.append((part, at))
-        at += n
-    base = spark.createDataFrame(starts, "part int, _base long")
+    # one row a file: a window over blocks of files, then one over the blocks, of which there are few
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.expr(f"part div {FILES}"))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("n")).withColumn("_block", ahead(W.orderBy("block"))).drop("n")
+    inside = totals.withColumn("_file", ahead(W.partitionBy("block").orderBy("part")))
+    base = inside.join(blocks, "block").select("part", (F.col("_block") + F.col("_file")).alias("_base"))
     before = F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
     return (
         rows.withColumn("_in", F.coalesce(before, F.lit(0)))
-        .join(F.broadcast(base), "part")
+        .join(base, "part")
         .select("doc_id", (F.col("_base") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
     )
 

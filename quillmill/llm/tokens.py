@@ -20,7 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces kept by a worker: about 250 bytes each.
-KEPT = 800_000
+KEPT = 500_000
+#: Bytes of text that are encoded at once.
+BULK = 2 << 20
 #: Whether an array of unsigned integers has the layout that ids are kept in.
 NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
 _ENCODERS: dict = {}
@@ -140,7 +142,7 @@ class PieceEncoder:
         return memoryview(raw) if raw is not None else memoryview(b""), at, np.concatenate([[0], np.cumsum(unsure)])
 
     def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
-        if len(self.first) + len(self.rest) > self.kept:
+        if len(self.rest) + self.spaced * len(self.first) > self.kept:
             self.first.clear()
             self.rest.clear()
             self.signs = {"": b""}
