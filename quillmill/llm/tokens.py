@@ -14,6 +14,7 @@ import os
 import re
 import sys
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ KEPT = 500_000
 BULK = 2 << 20
 #: Whether an array of unsigned integers has the layout that ids are kept in.
 NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
+#: Stands for the ids of a piece that isn't kept.
+NEW = object()
 _ENCODERS: dict = {}
 #: Letters that are split, composed and lower-cased alike everywhere, and punctuation but for the apostrophe, which
 #: may begin a token with letters in it. Each run of one kind is a pre-token; other text takes the long way.
@@ -103,12 +106,14 @@ class PieceEncoder:
         return ids
 
     def _learn(self, kept: dict[bytes, bytes | None], pieces: list[bytes], lead: str) -> None:
-        """Keeps the ids of the pieces, or None where a cut isn't sure."""
-        new = list(set(pieces).difference(kept))
-        texts = [p.decode("utf-8", "replace") for p in new]
+        """Keeps the ids of new pieces, or None where a cut isn't sure."""
         word, words, some, rest = WORD.fullmatch, WORDS.fullmatch, [], []
-        for p, t in zip(new, texts, strict=True):
-            if word(t):
+        tokenize, lower = self.tok.model.tokenize, not self.spaced
+        for p in pieces:
+            t = p.decode("utf-8", "replace")
+            if t.isascii() and t.isalpha():
+                kept[p] = _bytes([x.id for x in tokenize(lead + (t.lower() if lower else t))])
+            elif word(t):
                 kept[p] = self._word(t, lead)
             else:
                 some.append((p, t))
@@ -133,8 +138,12 @@ class PieceEncoder:
         """The ids of pieces end to end, where each begins and the last ends, and how many up to each weren't sure."""
         coded = pieces.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        self._learn(kept, names, lead)
-        found = pa.array(map(kept.__getitem__, names), pa.large_binary(), size=len(names))
+        values = list(map(kept.get, names, repeat(NEW)))
+        new = [i for i, v in enumerate(values) if v is NEW]
+        self._learn(kept, [names[i] for i in new], lead)
+        for i in new:
+            values[i] = kept[names[i]]
+        found = pa.array(values, pa.large_binary())
         unsure = found.is_null().take(coded.indices).to_numpy(zero_copy_only=False)
         own = found.take(coded.indices)
         raw = own.buffers()[2]
