@@ -1,6 +1,6 @@
 """The corpus: articles and their tokens.
 
-    articles: source, article_id, date (ISO or null), text
+    articles: source, article_id, date (ISO or null), and either text or sentences (arrays of tokens)
     tokens:   source, date, article_id, sent_ix, tok_ix, token
 
 Tokens are numbered inside their article, sentence by sentence, in one native
@@ -10,6 +10,7 @@ pass without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from quillmill.functions import dates
 from quillmill.functions import linguistics as L
 from quillmill.functions import text as T
 from quillmill.operators.query import Query, evaluate
+from quillmill.sources.checkpoints import checkpoint
 
 #: Source kinds and the column prefix of each.
 SOURCE_KINDS = ("parsed", "extracted", "analyzed", "crawled")
@@ -37,15 +39,20 @@ def articles(df: DataFrame, text: str, article_id: Column | None = None, date: C
     )
 
 
+def sentences_of(arts: DataFrame) -> Column:
+    """The sentences of articles as arrays of tokens, made from the text or, if it was tokenized, at hand."""
+    return F.col("sentences") if "sentences" in arts.columns else T.sentences(F.col("text"))
+
+
 def tokens(arts: DataFrame) -> DataFrame:
     """One row per token."""
-    placed = arts.select(*KEY, F.posexplode(T.placed_tokens(T.sentences(F.col("text")))).alias("tok_ix", "t"))
+    placed = arts.select(*KEY, F.posexplode(T.placed_tokens(sentences_of(arts))).alias("tok_ix", "t"))
     return placed.select(*KEY, F.col("t.sent_ix").alias("sent_ix"), "tok_ix", F.col("t.token").alias("token"))
 
 
 def tokenized(arts: DataFrame) -> DataFrame:
     """One row per article with its sentences as arrays of tokens, for work inside an article."""
-    return arts.withColumn("sentences", T.sentences(F.col("text"))).drop("text")
+    return arts.withColumn("sentences", sentences_of(arts)).drop("text")
 
 
 def from_sentences(df: DataFrame) -> DataFrame:
@@ -65,7 +72,7 @@ def filter_articles(arts: DataFrame, patterns: list[str], all_of: bool = False)
     """
     if not patterns:
         return arts
-    toks = F.flatten(T.sentences(F.col("text")))
+    toks = F.flatten(sentences_of(arts))
     hits = [F.exists(toks, T.matches(p)) for p in patterns]
     cond = hits[0]
     for h in hits[1:]:
@@ -89,11 +96,30 @@ def filter_tokens_by_queries(toks: DataFrame, queries: list[Query], all_of: bool
     return toks.join(keep, same, "left_semi")
 
 
+def filter_by_queries(arts: DataFrame, queries: list[Query], all_of: bool = False) -> DataFrame:
+    """Articles with a token for any query, or with a token for every query, of any type.
+
+    Regular expressions are decided inside the row. The others look at each
+    distinct token once; articles meet what was found by their row number.
+    """
+    if all(q.type == "regex" for q in queries):
+        return filter_articles(arts, [q.text for q in queries], all_of)
+    rows = checkpoint(tokenized(arts).withColumn("_row", F.monotonically_increasing_id()))
+    toks = rows.select("_row", F.explode(F.array_distinct(F.flatten("sentences"))).alias("token"))
+    named = {f"_f{i}": Query(q.type, q.text, "bool", q.text_only) for i, q in enumerate(queries)}
+    marks = evaluate(toks.select("token").distinct(), "token", named)
+    hit = toks.join(marks, "token").groupBy("_row").agg(*[F.max(n).alias(n) for n in named])
+    cond = reduce((lambda a, b: a & b) if all_of else (lambda a, b: a | b), [F.col(n) for n in named])
+    return rows.join(hit.where(cond).select("_row"), "_row", "left_semi").drop("_row")
+
+
 def combine(corpora: list[DataFrame], source: str = "combined") -> DataFrame:
     """One corpus of several article tables: articles of the same date and id are joined in source order.
 
     Undated and unnamed articles come under the empty text.
     """
+    if any("sentences" in c.columns for c in corpora):
+        return _combine_tokenized([tokenized(c) for c in corpora], source)
     parts = [
         c.select(F.lit(i).alias("_i"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("article_id", F.lit("")).alias("article_id"), "text")
         for i, c in enumerate(corpora)
@@ -110,6 +136,17 @@ def combine(corpora: list[DataFrame], source: str = "combined") -> DataFrame:
     )
 
 
+def _combine_tokenized(corpora: list[DataFrame], source: str) -> DataFrame:
+    parts = [
+        c.select(F.lit(i).alias("_i"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("article_id", F.lit("")).alias("article_id"), "sentences")
+        for i, c in enumerate(corpora)
+    ]
+    both = reduce(DataFrame.unionByName, parts)
+    own = F.array_sort(F.collect_list(F.struct("_i", "sentences")))
+    joined = both.groupBy("date", "article_id").agg(F.flatten(F.transform(own, lambda x: x["sentences"])).alias("sentences"))
+    return joined.select(F.lit(source).alias("source"), "article_id", "date", "sentences")
+
+
 def article_text(arts: DataFrame, article_id: str) -> DataFrame:
     return arts.where(F.col("article_id") == article_id)
 
@@ -212,6 +249,26 @@ def manipulate(toks: DataFrame, chain: list[Manipulator]) -> DataFrame:
     return renumber(done.select(*KEY, "sent_ix", "tok_ix", F.col("out").alias("token")))
 
 
+def manipulated(arts: DataFrame, chain: list[Manipulator]) -> DataFrame:
+    """Articles as sentences of tokens after manipulators, for analyses; what has no token left goes.
+
+    One shuffle by token brings what becomes of it, one by article brings its
+    tokens together again.
+    """
+    rows = tokenized(arts).withColumn("_row", F.monotonically_increasing_id())
+    toks = rows.select("_row", *KEY, F.posexplode(T.placed_tokens(F.col("sentences"))).alias("tok_ix", "t")).select(
+        "_row", *KEY, "t.sent_ix", "tok_ix", "t.token"
+    )
+    vocab = tokens(tokenized(arts)).select("token").distinct().withColumn("out", F.col("token"))
+    for m in chain:
+        vocab = m(vocab)
+    left = toks.join(vocab.select("token", "out"), "token").where(F.length("out") > 0).repartition("_row")
+    in_order = lambda c: F.array_sort(F.collect_list(c))
+    sents = left.groupBy("_row", *KEY, "sent_ix").agg(in_order(F.struct("tok_ix", "out")).alias("s"))
+    whole = sents.groupBy("_row", *KEY).agg(in_order(F.struct("sent_ix", F.transform("s", lambda x: x["out"]).alias("s"))).alias("a"))
+    return whole.select(*KEY, F.transform("a", lambda x: x["s"]).alias("sentences"))
+
+
 # Text maps
 
 TEXT_MAP = "array<struct<p:long,l:long,v:string>>"

@@ -6,9 +6,11 @@ counts and matched tokens are shuffled.
 
 from __future__ import annotations
 
+import re
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any, ClassVar
 
 import pandas as pd
@@ -40,6 +42,9 @@ class Algorithm(ABC):
     def run(self, arts: DataFrame) -> DataFrame:
         """The result table of a corpus."""
 
+    #: Columns that results are sorted by, as far as they have them.
+    order: ClassVar[tuple[str, ...]] = ("date", "id", "article", "token")
+
     def extra(self, arts: DataFrame) -> dict[str, DataFrame]:
         """Further result tables by name."""
         return {}
@@ -164,21 +169,31 @@ def matched(arts: DataFrame, keyword: str, categories: dict[str, str], keep: lis
     A keyword token is not tested for categories.
     """
     names = list(categories)
-    toks = F.flatten(T.sentences(F.col("text")))
-    marked = F.transform(
-        toks,
-        lambda t, i: F.struct(
-            i.alias("pos"), t.rlike(keyword).alias("kw"), *[(~t.rlike(keyword) & t.rlike(categories[n])).alias(f"c{k}") for k, n in enumerate(names)]
-        ),
-    )
+    patterns = [keyword, *categories.values()]
+    # one expression looks at each token; only its few hits are looked at again, to tell which it is
+    any_of = "|".join(f"(?:{p})" for p in patterns)
+    numbered = any(re.search(r"\\[1-9k]|\(\?P?<[A-Za-z]", p) for p in patterns)
 
     def hit(x: Column) -> Column:
-        cond = x["kw"]
-        for k in range(len(names)):
-            cond = cond | x[f"c{k}"]
-        return cond
+        return reduce(lambda a, b: a | b, [x["t"].rlike(p) for p in patterns]) if numbered else x["t"].rlike(any_of)
+
+    def mark(x: Column) -> Column:
+        kw = x["t"].rlike(keyword)
+        return F.struct(x["pos"].alias("pos"), kw.alias("kw"), *[(~kw & x["t"].rlike(categories[n])).alias(f"c{k}") for k, n in enumerate(names)])
+
+    def places(toks: Column) -> Column:
+        found = F.transform(F.filter(F.transform(toks, lambda t, i: F.struct(i.alias("pos"), t.alias("t"))), hit), mark)
+        return F.when(F.size(toks) > 0, found)
+
+    # transform over a one-element array names a value, so a text is tokenized once
+    found = F.transform(F.array(F.flatten(C.sentences_of(arts))), places)[0]
+    rows = arts.select(*keep, F.explode(F.transform(F.array(found), _none_as_null)[0]).alias("m"))
+    return rows.select(*keep, "m.*")
+
 
-    return arts.withColumn("_n", F.size(toks)).where("_n > 0").select(*keep, F.explode_outer(F.filter(marked, hit)).alias("m")).select(*keep, "m.*")
+def _none_as_null(found: Column) -> Column:
+    """An empty array as one with a null, so that its row stays; a null array has none."""
+    return F.when(F.size(found) == 0, F.array(F.get(found, F.lit(0)))).otherwise(found)
 
 
 def associations(hits: DataFrame, labels: list[str], window: int, by: list[str]) -> DataFrame:
@@ -263,7 +278,7 @@ class SentimentOverTime(Algorithm):
     def scored(self, arts: DataFrame) -> DataFrame:
         """(group, article_id, one truth value per category, score) of sentences in any category."""
         names = list(self.categories)
-        sents = _grouped(arts, self.resolution).select("group", "article_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+        sents = _grouped(arts, self.resolution).select("group", "article_id", F.explode(C.sentences_of(arts)).alias("s"))
         flags = [F.exists("s", T.matches(p)).alias(f"c{k}") for k, p in enumerate(self.categories.values())]
         marked = sents.select("group", "article_id", "s", *flags)
         cond = F.lit(False)
@@ -308,7 +323,7 @@ class TermsOverTime(Algorithm):
     fill: bool = True
 
     def run(self, arts: DataFrame) -> DataFrame:
-        toks = F.flatten(T.sentences(F.col("text")))
+        toks = F.flatten(C.sentences_of(arts))
         counted = {n: F.size(F.filter(toks, T.matches(p))) for n, p in self.terms.items()}
         rows = _grouped(arts, self.resolution).select(F.col("group").alias("date"), *[c.alias(n) for n, c in counted.items()])
         out = rows.groupBy("date").agg(*[F.sum(n).alias(n) for n in self.terms])
@@ -351,7 +366,7 @@ class TopicModelling(Algorithm):
     def features(self, arts: DataFrame):
         from pyspark.ml.feature import IDF, CountVectorizerModel
 
-        docs = arts.select("article_id", F.flatten(T.sentences(F.col("text"))).alias("words")).where(F.size("words") > 0)
+        docs = arts.select("article_id", F.flatten(C.sentences_of(arts)).alias("words")).where(F.size("words") > 0)
         words = self.pruned(docs)
         cv = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="counts")
         vec = cv.transform(docs).drop("words")

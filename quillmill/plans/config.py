@@ -81,7 +81,14 @@ class AnalyzerConfig:
 
 def labelled_queries(cat: dict[str, Any], registry: dict[int, Q.Query]) -> dict[str, str]:
     """Category patterns by label; entries without a label or query are left out."""
-    return {label: registry[q].text for label, q in zipped(cat, "cat.labels", "cat.queries") if label and q in registry}
+    return {label: token_pattern(registry[q]) for label, q in zipped(cat, "cat.labels", "cat.queries") if label and q in registry}
+
+
+def token_pattern(q: Q.Query) -> str:
+    """The pattern of a query that marks tokens; only regular expressions can, any other type is an error."""
+    if q.type != "regex":
+        raise ValueError(f"a query on tokens must be a regular expression, not {q.type}: {q.text}")
+    return q.text
 
 
 def parser_config(text: str, registry: dict[int, Q.Query]) -> P.ParserConfig:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from quillmill.operators import query as Q
 from quillmill.operators import relational as R
 from quillmill.operators.records import parse
 from quillmill.plans import algorithms as A
-from quillmill.plans.config import AnalyzerConfig, labelled_queries, parser_config
+from quillmill.plans.config import AnalyzerConfig, labelled_queries, parser_config, token_pattern
 from quillmill.sources import sinks, tables
+from quillmill.sources.checkpoints import checkpoint
 
 #: Options of algorithms and the parameters that they set.
 PARAMETERS = {
@@ -36,7 +38,7 @@ class Engine:
     configs: dict[str, str] = field(default_factory=dict)
     manipulators: dict[int, Callable[[list[str]], C.Manipulator]] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
-    #: Corpora that were built, by sources and manipulators; a longer chain starts from the longest one it begins with.
+    #: Save points: corpora that were built, by source, dates and manipulators; a longer chain starts from the longest one it begins with.
     _cache: dict[tuple, DataFrame] = field(default_factory=dict)
 
     def add_query(self, q: Q.Query) -> int:
@@ -71,37 +73,42 @@ class Engine:
         dated = s.kind == "parsed"
         return C.articles(df, s.column_name(), F.col("parsed_id") if dated else None, F.col("parsed_datetime") if dated else None, s.label)
 
+    def _built(self, s: tables.Source, cfg: AnalyzerConfig) -> DataFrame:
+        """A source's articles in the configured dates, after the chain of manipulators.
+
+        What a chain makes is written once, as a save point in the shared folder.
+        """
+        arts = self._articles(s)
+        if cfg.date_from is not None or cfg.date_to is not None:
+            arts = C.filter_by_date(arts, cfg.date_from or "", cfg.date_to or "")
+        chain = [(m, cfg.dictionaries[i] if i < len(cfg.dictionaries) else "") for i, m in enumerate(cfg.manipulators) if m]
+        if not chain:
+            return arts
+        base = (s, cfg.date_from, cfg.date_to)
+        done = next((n for n in range(len(chain), 0, -1) if (base, tuple(chain[:n])) in self._cache), 0)
+        if done:
+            arts = self._cache[base, tuple(chain[:done])]
+        if done < len(chain):
+            arts = checkpoint(C.manipulated(arts, [self.manipulators[m]([d]) for m, d in chain[done:]]))
+            self._cache[base, tuple(chain)] = arts
+        return arts
+
     def corpora(self, cfg: AnalyzerConfig) -> list[DataFrame]:
-        """The article tables of a configuration, after dates and queries have filtered them."""
+        """The article tables of a configuration: by date, manipulated, combined, then filtered by queries on their tokens."""
         good, warned = tables.usable(self.spark, cfg.sources, self.namespace)
         self.warnings += warned
-        out = [self._articles(s) for s in good]
-        if cfg.date_from is not None or cfg.date_to is not None:
-            out = [C.filter_by_date(a, cfg.date_from or "", cfg.date_to or "") for a in out]
+        out = [self._built(s, cfg) for s in good]
         if cfg.combine and len(out) > 1:
             out = [C.combine(out)]
-        patterns = [self.queries[q].text for q in cfg.filter_queries if q in self.queries]
-        return [C.filter_articles(a, patterns, cfg.filter_all) for a in out] if patterns else out
+        queries = [self.queries[q] for q in cfg.filter_queries if q in self.queries]
+        return [C.filter_by_queries(a, queries, cfg.filter_all) for a in out] if queries else out
 
     def tokens(self, cfg: AnalyzerConfig) -> DataFrame:
         """The token table of all sources after the chain of manipulators."""
-        toks = None
-        for a in self.corpora(cfg):
-            toks = C.tokens(a) if toks is None else toks.unionByName(C.tokens(a))
-        chain = [(m, cfg.dictionaries[i] if i < len(cfg.dictionaries) else "") for i, m in enumerate(cfg.manipulators) if m]
-        base = (tuple(cfg.sources), cfg.date_from, cfg.date_to, tuple(cfg.filter_queries), cfg.filter_all, cfg.combine)
-        done = next((n for n in range(len(chain), -1, -1) if (base, tuple(chain[:n])) in self._cache), None)
-        if done is not None:
-            toks = self._cache[base, tuple(chain[:done])]
-        rest = [self.manipulators[m]([d]) for m, d in chain[done or 0 :]]
-        out = C.manipulate(toks, rest) if rest else toks
-        self._cache[base, tuple(chain)] = out.persist()
-        return out
+        return reduce(DataFrame.unionByName, [C.tokens(a) for a in self.corpora(cfg)])
 
     def forget(self) -> None:
-        """Drops kept corpora, as after their sources have changed."""
-        for df in self._cache.values():
-            df.unpersist()
+        """Drops save points, as after their sources have changed."""
         self._cache.clear()
 
     # commands
@@ -116,7 +123,7 @@ class Engine:
         if "categories" in takes:
             kw["categories"] = labelled_queries(o, self.queries)
         if "keyword" in takes:
-            kw["keyword"] = self.queries[o["keyword"]].text if o.get("keyword") in self.queries else ""
+            kw["keyword"] = token_pattern(self.queries[o["keyword"]]) if o.get("keyword") in self.queries else ""
         if "threshold" in takes and not o.get("use.threshold", "threshold" in o):
             kw["threshold"] = None
         if "scorer" in takes and isinstance(o.get("dictionary"), dict):
@@ -124,17 +131,25 @@ class Engine:
         return kind(**kw)
 
     def run(self, cfg: AnalyzerConfig | str, save: bool = False) -> DataFrame:
-        """The result of an analysis over all its sources; ``save`` also writes its target table."""
+        """The sorted result of an analysis over all its sources.
+
+        ``save`` also writes its target table and those of its further results.
+        """
         cfg = AnalyzerConfig.from_json(self.configs.get(cfg, cfg)) if isinstance(cfg, str) else cfg
         algo = self.algorithm(cfg)
-        out = None
-        for arts in self.corpora(cfg):
-            result = algo.run(arts)
-            out = result if out is None else out.unionByName(result, allowMissingColumns=True)
-        if out is None:
+        corpora = self.corpora(cfg)
+        if not corpora:
             raise ValueError("no usable source")
+        join = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        out = join([algo.run(arts) for arts in corpora])
+        by = [c for c in algo.order if c in out.columns]
+        out = out.orderBy(*by) if by else out
         if save:
-            sinks.replace(out, f"{self.namespace}_analyzed_{cfg.target}")
+            target = f"{self.namespace}_analyzed_{cfg.target}"
+            sinks.replace(out, target)
+            further = [algo.extra(arts) for arts in corpora]
+            for name in further[0]:
+                sinks.replace(join([f[name] for f in further]), f"{target}_{name}")
         return out
 
     def parse(self, config: str, crawled: DataFrame) -> DataFrame:

@@ -50,7 +50,29 @@ def test_filters_and_kept_corpora(engine):
     engine.tokens(cfg)
     assert len(engine._cache) == 1
     engine.forget()
-    assert [tuple(r) for r in engine.run(cfg).collect()] == [("2020-03", 1, 1, 3)]
+    # "the" is gone for the analysis as well
+    assert [tuple(r) for r in engine.run(cfg).collect()] == [("2020-03", 1, 1, 2)]
+    none = engine.add_query(Query("xpath", "//cat", "bool"))
+    both = AnalyzerConfig.from_json(config(("general", "algo", 44), *BASE, ("filter-query", "queries", [cat, none])))
+    assert [tuple(r) for r in engine.run(both).collect()] == [("2020-01", 1, 2, 6), ("2020-02", 0, 0, 0), ("2020-03", 1, 1, 3)]
+    both.filter_all = True
+    assert engine.run(both).count() == 0
+    with pytest.raises(ValueError, match="regular expression"):
+        engine.run(config(("", "algo", 42), *BASE, ("associations", "keyword", none)))
+
+
+def test_longer_chains_start_from_save_points_and_combined_corpora_keep_tokens(engine):
+    stops = engine.spark.createDataFrame([("the",)], "token string")
+    engine.manipulators = {6: lambda d: C.remove(stops), 3: lambda d: C.stem_english()}
+    base = [("general", "input.sources", [0, 0]), ("general", "input.tables", ["news", "news"]), ("general", "input.fields", ["text", "text"]), ("group-date", "resolution", 2), ("corpus", "combine.sources", True)]
+    one = AnalyzerConfig.from_json(config(("general", "algo", 46), *base, ("tokenizer", "manipulators", [6]), ("general", "target.table", "toks")))
+    assert [tuple(r) for r in engine.run(one, save=True).collect()] == [("a", 2), ("cat", 4), ("dog", 2), ("here", 2), ("was", 2)]
+    assert engine.spark.table("web_analyzed_toks_vocabulary").orderBy("tid").first().n == 4
+    for t in ("toks", "toks_vocabulary"):
+        engine.spark.sql(f"DROP TABLE web_analyzed_{t}")
+    two = AnalyzerConfig.from_json(config(("general", "algo", 46), *base, ("tokenizer", "manipulators", [6, 3])))
+    engine.run(two)
+    assert len(engine._cache) == 2
 
 
 def test_url_commands(engine, tmp_path):
