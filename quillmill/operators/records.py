@@ -16,6 +16,7 @@ from quillmill.functions import dates
 from quillmill.functions import text as T
 from quillmill.operators import relational as R
 from quillmill.operators.query import Query, any_of, evaluate, subsets
+from quillmill.sources.checkpoints import checkpoint
 
 CONTENT, URL = "content", "url"
 
@@ -125,19 +126,28 @@ def build(df: DataFrame, ids: list[Value], fields: list[Field], times: list[Time
 def parse(crawled: DataFrame, cfg: ParserConfig) -> DataFrame:
     """Records of crawled content (id, url, crawltime, content).
 
-    Newest-only takes the newest version of a URL that gives a record. An id
-    belongs to the first content that has it.
+    Newest-only takes the newest version of a URL that gives a record: newest
+    versions are parsed first, older ones only of URLs that gave none then. An
+    id belongs to the first content that has it.
     """
     rows = crawled
     for p in cfg.skip_urls:
         rows = rows.where(~F.col("url").rlike(p))
     if cfg.ignore_content:
         rows = any_of(rows, "content", cfg.ignore_content, "_ign").where("not _ign").drop("_ign")
-    made = build(rows, cfg.ids, cfg.fields, cfg.times, "content", cfg.ignore_ids)
     names = [f.name for f in cfg.fields]
-    made = made.select(F.col("id").alias("content_id"), "url", "crawltime", "parsed_id", "parsed_datetime", *names)
+
+    def records(some: DataFrame) -> DataFrame:
+        made = build(some, cfg.ids, cfg.fields, cfg.times, "content", cfg.ignore_ids)
+        return made.select(F.col("id").alias("content_id"), "url", "crawltime", "parsed_id", "parsed_datetime", *names)
+
     if cfg.newest_only:
-        made = R.latest(made, ["url"], [F.desc("crawltime"), F.desc("content_id")])
+        newest = rows.groupBy("url").agg(F.max(F.struct("crawltime", "id"))["id"].alias("id")).select("id")
+        made = checkpoint(records(rows.join(newest, "id", "left_semi")))
+        older = rows.join(newest, "id", "left_anti").join(made.select("url"), "url", "left_anti")
+        made = made.unionByName(R.latest(records(older), ["url"], ["crawltime", "content_id"]))
+    else:
+        made = records(rows)
     return R.first_owner(made, "parsed_id", "content_id").drop("crawltime")
 
 
@@ -165,7 +175,7 @@ def extract(df: DataFrame, cfg: ExtractorConfig, content: str = "content") -> Da
     made = build(subs, cfg.ids, cfg.fields, cfg.times, "subset", cfg.ignore_ids, "extracted")
     keep = [c for c in df.columns if c != content]
     out = made.select(*keep, "subset_ix", "extracted_id", "extracted_datetime", *[f.name for f in cfg.fields])
-    return R.latest(out, ["extracted_id"], [*[F.asc(c) for c in keep], F.asc("subset_ix")]) if cfg.remove_duplicates else out
+    return R.latest(out, ["extracted_id"], [*keep, "subset_ix"], first=True) if cfg.remove_duplicates else out
 
 
 def link(extracted: DataFrame, linked: DataFrame, on: str) -> DataFrame:

@@ -30,11 +30,15 @@ def state_of(log: DataFrame, key: str = "url") -> DataFrame:
     return log.groupBy(key).agg(F.max("locktime").alias("locktime"), F.max("success").alias("success"))
 
 
-def latest(df: DataFrame, key: list[str], order: list[Column], where: Column | None = None) -> DataFrame:
-    """The newest row of each key."""
+def latest(df: DataFrame, key: list[str], by: list[str], where: Column | None = None, first: bool = False) -> DataFrame:
+    """The row of each key with the largest values of ``by``, or the smallest; nulls are the smallest.
+
+    An aggregation, so rows combine before the shuffle and a key may hold any share of them.
+    """
     rows = df if where is None else df.where(where)
-    w = W.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    rest = [c for c in df.columns if c not in key]
+    best = (F.min_by if first else F.max_by)(F.struct(*rest), F.struct(*by))
+    return rows.groupBy(*key).agg(best.alias("_v")).select(*key, "_v.*").select(*df.columns) if rest else rows.select(*key).distinct()
 
 
 def latest_value(parsed: DataFrame, crawled: DataFrame, urls: DataFrame, columns: list[str]) -> DataFrame:
@@ -80,9 +84,9 @@ def merge_lists(lists: list[DataFrame], column: str = "url") -> DataFrame:
     return out.distinct()
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
-    """A table with the rows of a new one put in: later values win, one row per key of the new one."""
-    rows = latest(new, key, order) if order else new.dropDuplicates(key)
+def upsert(old: DataFrame, new: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
+    """A table with the rows of a new one put in, one for each key: the largest by ``by``, else by all other columns."""
+    rows = latest(new, key, by or [c for c in new.columns if c not in key] or key)
     return old.join(rows.select(*key), key, "left_anti").unionByName(rows.select(*old.columns))
 
 
@@ -114,7 +118,7 @@ def owner_of(parsed: DataFrame, ids: DataFrame, id_col: str = "parsed_id") -> Da
 
 def first_owner(df: DataFrame, id_col: str, order: str) -> DataFrame:
     """Rows whose id no earlier row has."""
-    return latest(df, [id_col], [F.asc(order)])
+    return latest(df, [id_col], [order], first=True)
 
 
 def median(column: Column, truncate: bool = False) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from quillmill.operators import relational as R
 from quillmill.plans import algorithms as A
 from quillmill.plans import inputs as I
 from quillmill.plans import sql as S
+from quillmill.plans.config import AnalyzerConfig
+from quillmill.plans.engine import Engine
 from quillmill.sources import sinks, tables
 from quillmill.sources.tables import read
 
@@ -164,6 +167,13 @@ def cor10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.check(C.tokens(I.articles(spark, sf_dir))).select(F.col("article_id").cast("long").alias("article_id"))
 
 
+@query("cor10_check_broken", f"{S.TOKENS} SELECT CAST(article_id AS BIGINT) AS article_id FROM toks GROUP BY article_id, date HAVING count(*) > 4")
+def cor10_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article that has a token behind its fourth, which is lost."""
+    toks = C.tokens(I.articles(spark, sf_dir)).where("tok_ix <> 3")
+    return C.check(toks).select(F.col("article_id").cast("long").alias("article_id"))
+
+
 _MAPS = """m AS (SELECT doc_id % 10 AS corpus, doc_id, length(text) AS l FROM documents WHERE length(text) > 0),
 e AS (SELECT corpus, doc_id, l, coalesce(sum(l + 1) OVER (PARTITION BY corpus ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM m)"""
 
@@ -243,9 +253,10 @@ def tok4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.stem_german()(_vocabulary(spark, sf_dir, "de"))
 
 
-@query("tok7_trim")
+@query("tok7_trim", f"{S.TOKENS} SELECT DISTINCT token, regexp_replace(regexp_replace(token, '^(?:th|ver)+(.+)$', '\\1', 's'), '^(.+?)(?:ing|s)+$', '\\1', 's') AS out FROM toks")
 def tok7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.trim(["th", "ver"], ["ing", "s"])(_vocabulary(spark, sf_dir, "en"))
+    vocab = C.tokens(I.articles(spark, sf_dir)).select("token").distinct()
+    return C.trim(["th", "ver"], ["ing", "s"])(vocab.withColumn("out", F.col("token")))
 
 
 _LEMMAS = """l AS (SELECT DISTINCT token AS form, substr(token, 1, 4) AS lemma, length(token) AS cnt FROM toks WHERE length(token) > 4 AND token ~ '^[a-z]+$')"""
@@ -271,6 +282,34 @@ def cor6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.manipulate(C.tokens(I.articles(spark, sf_dir)), [C.remove(stops), C.stem_english()]).drop("source")
 
 
+_LEFT = """d AS (SELECT * FROM toks WHERE token NOT IN ('the', 'and', 'of'))
+SELECT date, article_id, CAST(dense_rank() OVER (PARTITION BY article_id, date ORDER BY s) - 1 AS INTEGER) AS sent_ix, CAST(row_number() OVER (PARTITION BY article_id, date ORDER BY pos) - 1 AS INTEGER) AS tok_ix, token FROM d"""
+
+
+@query("cor6_remove_tokens", f"{S.TOKENS}, {_LEFT}")
+def cor6_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stops = spark.createDataFrame([("the",), ("and",), ("of",)], "token string")
+    return C.manipulate(C.tokens(I.articles(spark, sf_dir)), [C.remove(stops)]).drop("source")
+
+
+@query(
+    "cmd_run_with_manipulators",
+    f"""{S.TOKENS}, kept AS (SELECT * FROM toks WHERE token NOT IN ('the', 'and', 'of') AND date >= '2024-02-01'), {S.every_group("weeks", "kept")},
+w AS (SELECT {S.group("weeks")} AS date, count(DISTINCT article_id) AS articles, count(DISTINCT (article_id, s)) AS sentences, count(*) AS tokens FROM kept GROUP BY 1)
+SELECT allg.date, coalesce(articles, 0) AS articles, coalesce(sentences, 0) AS sentences, coalesce(tokens, 0) AS tokens FROM allg LEFT JOIN w ON allg.date = w.date""",
+)
+def run_with_manipulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date filter and a token remover by configuration, then words over time."""
+    docs = read(spark, sf_dir, "documents")
+    name = f"run_{uuid.uuid4().hex}"
+    docs.select(
+        F.col("doc_id").cast("string").alias("parsed_id"), I.doc_date().cast("timestamp").alias("parsed_datetime"), F.col("text").alias("parsed__text")
+    ).createOrReplaceTempView(f"{name}_parsed_documents")
+    stops = spark.createDataFrame([("the",), ("and",), ("of",)], "token string")
+    engine = Engine(spark, name, manipulators={1: lambda _: C.remove(stops)})
+    return engine.run(AnalyzerConfig(44, [tables.Source("parsed", "documents", "text")], date_from="2024-02-01", date_to="", manipulators=[1]))
+
+
 # Relational shapes
 
 @query(
@@ -354,14 +393,8 @@ def join8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("join9_page_versions", "SELECT c.c_name AS url, e.event_id AS id, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS crawltime FROM customer c JOIN events e ON c.c_custkey = e.user_id WHERE c.c_custkey <= 20")
+@query("join9_page_versions", "SELECT c.c_name AS url, e.event_id AS id, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS crawltime FROM customer c JOIN events e ON c.c_custkey = e.user_id")
 def join9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("url"), F.col("c_name").alias("name"))
-    return I.crawled(spark, sf_dir).join(c, "url").select(F.col("name").alias("url"), "id", F.date_format("crawltime", "yyyy-MM-dd HH:mm:ss").alias("crawltime"))
-
-
-@query("join9_page_versions_all", "SELECT c.c_name AS url, e.event_id AS id, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS crawltime FROM customer c JOIN events e ON c.c_custkey = e.user_id")
-def join9_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url"), F.col("c_name").alias("name"))
     return I.crawled(spark, sf_dir).join(c, "url").select(F.col("name").alias("url"), "id", F.date_format("crawltime", "yyyy-MM-dd HH:mm:ss").alias("crawltime"))
 
@@ -401,7 +434,7 @@ def join16(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rnk1_latest_version", "SELECT user_id, event_id, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE props <> '') WHERE r = 1")
 def rnk1(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read(spark, sf_dir, "events")
-    return R.latest(ev, ["user_id"], [F.desc("ts"), F.desc("event_id")], F.col("props") != "").select("user_id", "event_id", "props")
+    return R.latest(ev, ["user_id"], ["ts", "event_id"], F.col("props") != "").select("user_id", "event_id", "props")
 
 
 @query("rnk2_first_owner", "SELECT user_id, props, event_id FROM (SELECT *, row_number() OVER (PARTITION BY props ORDER BY event_id) AS r FROM events) WHERE r = 1")
@@ -444,6 +477,13 @@ def agg6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ok.agg(F.count("*").alias("n"), F.count_if(F.col("url") == "").alias("n_empty"), F.count_distinct("url").alias("n_distinct"))
 
 
+@query("agg6_changed", "SELECT doc_id FROM documents WHERE text <> lower(text)")
+def agg6_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that no longer have the hash that was stored with them."""
+    stored = read(spark, sf_dir, "documents").withColumn("hash", T.text_hash(F.lower("text")))
+    return stored.where(T.text_hash(F.col("text")) != F.col("hash")).select("doc_id")
+
+
 @query("agg7_mean_median_variance", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(var_pop(value), 4) AS variance FROM events GROUP BY 1")
 def agg7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("event_type").agg(
@@ -490,15 +530,8 @@ def set2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.add_if_new(p.where("page_id % 3 = 0"), p, case_sensitive=False)
 
 
-@query("set3_merge_lists", "SELECT url FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0 UNION SELECT 'https://' || c_name FROM customer")
+@query("set3_merge_lists", "SELECT url FROM pages WHERE page_id % 2 = 0 OR page_id IS NULL UNION SELECT url FROM pages WHERE page_id % 3 = 0 UNION SELECT url FROM pages WHERE page_id % 2 <> 0 UNION SELECT 'https://' || c_name FROM customer")
 def set3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "pages")
-    more = read(spark, sf_dir, "customer").select(F.concat(F.lit("https://"), "c_name").alias("url"))
-    return R.merge_lists([p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0"), more])
-
-
-@query("set3_merge_lists_all", "SELECT url FROM pages WHERE page_id % 2 = 0 OR page_id IS NULL UNION SELECT url FROM pages WHERE page_id % 3 = 0 UNION SELECT url FROM pages WHERE page_id % 2 <> 0 UNION SELECT 'https://' || c_name FROM customer")
-def set3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages")
     more = read(spark, sf_dir, "customer").select(F.concat(F.lit("https://"), "c_name").alias("url"))
     return R.merge_lists([p.where("page_id % 2 = 0 OR page_id IS NULL"), p.where("page_id % 3 = 0"), p.where("page_id % 2 <> 0"), more])
@@ -512,7 +545,7 @@ SELECT * FROM o WHERE content NOT IN (SELECT content FROM n) UNION ALL SELECT *
 def set4(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("content"), F.col("c_name").alias("value"))
     new = read(spark, sf_dir, "events").select(F.col("user_id").alias("content"), F.col("props").alias("value"), "event_id")
-    return R.upsert(old, new, ["content"], [F.desc("event_id")])
+    return R.upsert(old, new, ["content"], ["event_id"])
 
 
 @query("set5_to_classify", "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -640,14 +673,8 @@ for _r in D.RESOLUTIONS:
         return read(spark, sf_dir, "orders").select("o_orderkey", D.reduce_date(F.date_format("o_orderdate", "yyyy-MM-dd"), r).alias("grp"))
 
 
-@query("dat6_date_gaps", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS x FROM orders WHERE o_orderkey % 7 = 0) SELECT strftime(CAST(g AS DATE), '%Y-%m-%d') AS date FROM (SELECT unnest(generate_series(min(x), max(x), INTERVAL 1 DAY)) AS g FROM d) WHERE CAST(g AS DATE) NOT IN (SELECT x FROM d)")
+@query("dat6_date_gaps", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS x FROM orders) SELECT strftime(CAST(g AS DATE), '%Y-%m-%d') AS date FROM (SELECT unnest(generate_series(min(x), max(x), INTERVAL 1 DAY)) AS g FROM d) WHERE CAST(g AS DATE) NOT IN (SELECT x FROM d)")
 def dat6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).distinct()
-    return D.all_groups(have, "days").join(have, "date", "left_anti")
-
-
-@query("dat6_date_gaps_all", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS x FROM orders) SELECT strftime(CAST(g AS DATE), '%Y-%m-%d') AS date FROM (SELECT unnest(generate_series(min(x), max(x), INTERVAL 1 DAY)) AS g FROM d) WHERE CAST(g AS DATE) NOT IN (SELECT x FROM d)")
-def dat6_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).distinct()
     return D.all_groups(have, "days").join(have, "date", "left_anti")
 
@@ -778,14 +805,14 @@ def flt11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "prj1_parse_pages",
-    "SELECT page_id AS content_id, url, regexp_extract(url, '/([0-9]+)', 1) AS parsed_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM (SELECT *, row_number() OVER (PARTITION BY regexp_extract(url, '/([0-9]+)', 1) ORDER BY page_id) AS r FROM pages) WHERE r = 1",
+    "SELECT page_id AS content_id, url, regexp_extract(url, '/([0-9]+)', 1) AS parsed_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'), ' ([.,:;)])', '\\1', 'g')) AS title FROM (SELECT *, row_number() OVER (PARTITION BY regexp_extract(url, '/([0-9]+)', 1) ORDER BY page_id) AS r FROM pages) WHERE r = 1",
 )
 def prj1(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = P.ParserConfig(
         ids=[P.Value(Q.Query("regex", "(?<=/)[0-9]+"), P.URL)],
         fields=[P.Field("lang", P.Value(Q.Query("xpath", "/html/@lang"))), P.Field("title", P.Value(Q.Query("xpath", "//title", text_only=True)), tidy=True)],
     )
-    return P.parse(I.pages(spark, sf_dir), cfg).select("content_id", "url", "parsed_id", "lang")
+    return P.parse(I.pages(spark, sf_dir), cfg).select("content_id", "url", "parsed_id", "lang", "title")
 
 
 @query("prj3_newest_only", "SELECT url, arg_max(content, (crawltime, id)) AS parsed_id FROM (SELECT event_id AS id, user_id AS url, ts AS crawltime, user_id || '-' || CAST(json_extract(props, '$.k') AS BIGINT) AS content FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50) GROUP BY url")
@@ -862,7 +889,12 @@ def prj16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.links(I.pages(spark, sf_dir))
 
 
-@query("prj17_frontier")
+@query(
+    "prj17_frontier",
+    """WITH l AS (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages),
+r AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') || regexp_extract(replace(link, '&amp;', '&'), '^[^?#]*') AS url FROM l)
+SELECT DISTINCT url FROM r WHERE url NOT IN (SELECT url FROM pages)""",
+)
 def prj17(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.pages(spark, sf_dir)
     return K.frontier(p, p.select("url"))
@@ -885,13 +917,8 @@ def _time_maps(o: DataFrame) -> DataFrame:
     return K.mementos(o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit('<http://x>; rel="original",\n'), entry("a", "first memento"), F.lit(",\n"), entry("b", "memento")).alias("content")))
 
 
-@query("prj20_mementos", "SELECT o_orderkey AS from_id, unnest(['http://a/' || o_orderkey, 'http://b/' || o_orderkey]) AS url, strftime(o_orderdate, '%Y%m%d000000') AS stamp FROM orders WHERE o_orderkey < 2000")
+@query("prj20_mementos", "SELECT o_orderkey AS from_id, unnest(['http://a/' || o_orderkey, 'http://b/' || o_orderkey]) AS url, strftime(o_orderdate, '%Y%m%d000000') AS stamp FROM orders")
 def prj20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _time_maps(read(spark, sf_dir, "orders").where("o_orderkey < 2000"))
-
-
-@query("prj20_mementos_all", "SELECT o_orderkey AS from_id, unnest(['http://a/' || o_orderkey, 'http://b/' || o_orderkey]) AS url, strftime(o_orderdate, '%Y%m%d000000') AS stamp FROM orders")
-def prj20_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _time_maps(read(spark, sf_dir, "orders"))
 
 

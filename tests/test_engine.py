@@ -9,7 +9,8 @@ from quillmill.operators import records as P
 from quillmill.operators.query import Query
 from quillmill.plans.config import AnalyzerConfig, parser_config, zipped
 from quillmill.plans.engine import Engine
-from quillmill.streaming.incremental import groups_over_time, parse_new
+from quillmill.functions.dates import reduce_date
+from quillmill.streaming.incremental import groups_over_time, parse_new, upsert_into
 
 
 def config(*options):
@@ -115,6 +116,19 @@ def test_groups_of_an_event_stream(spark, tmp_path):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts")
     ev.write.parquet(str(tmp_path / "ev"))
     stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev"))
-    q = groups_over_time(stream, "ts", "months").writeStream.outputMode("complete").format("memory").queryName("groups").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("groups").agg(F.sum("n")).first()[0] == ev.count()
+    for r in ("days", "weeks", "months", "years"):
+        q = groups_over_time(stream, "ts", r).writeStream.outputMode("complete").format("memory").queryName(f"groups_{r}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        want = ev.groupBy(reduce_date(F.date_format("ts", "yyyy-MM-dd"), r).alias("date")).agg(F.count("*").alias("n"))
+        assert sorted(map(tuple, spark.table(f"groups_{r}").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_upserts_leave_one_whole_table(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    upsert_into(spark, "ups", rows((1, "a"), (1, "b"), (2, "c")), ["k"])
+    upsert_into(spark, "ups", rows((2, "d"), (3, "e"), (3, "f")), ["k"])
+    assert sorted(map(tuple, spark.table("ups").collect())) == [(1, "b"), (2, "d"), (3, "f")]
+    spark.sql("ALTER TABLE ups RENAME TO ups__old")  # as if a run had ended between the renames
+    upsert_into(spark, "ups", rows((4, "g")), ["k"])
+    assert spark.table("ups").count() == 4
+    spark.sql("DROP TABLE ups")

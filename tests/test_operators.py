@@ -121,8 +121,8 @@ def test_extract_and_link(spark):
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (3, "z", 1)], "k long, v string, o int")
-    once = R.upsert(old, new, ["k"], [F.desc("o")])
-    twice = R.upsert(once, new, ["k"], [F.desc("o")])
+    once = R.upsert(old, new, ["k"], ["o"])
+    twice = R.upsert(once, new, ["k"], ["o"])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [(1, "a"), (2, "y"), (3, "z")]
 
 
