@@ -889,10 +889,16 @@ def prj16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.links(I.pages(spark, sf_dir))
 
 
+#: A link's path, percent-encoded but for what may stay.
+_PATH = "url_encode(regexp_extract(replace(link, '&amp;', '&'), '^[^?#]*'))"
+for _c in "/:=&+!$,;@()*[]%":
+    _PATH = f"replace({_PATH}, '%{ord(_c):02X}', '{_c}')"
+
+
 @query(
     "prj17_frontier",
-    """WITH l AS (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages),
-r AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') || regexp_extract(replace(link, '&amp;', '&'), '^[^?#]*') AS url FROM l)
+    f"""WITH l AS (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages),
+r AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') || {_PATH} AS url FROM l)
 SELECT DISTINCT url FROM r WHERE url NOT IN (SELECT url FROM pages)""",
 )
 def prj17(spark: SparkSession, sf_dir: str) -> DataFrame:
