@@ -11,10 +11,11 @@ Search, on distinct fingerprints only:
    follows the number of fingerprints, so blocks keep a few members.
 2. A block of over ``TILE`` members, as texts of one template make it, is
    entered again under blocks of its remaining bits: its members differ in at
-   most ``MAX_BITS`` of those if they link, so the same holds again. What is
-   still over ``TILE`` after ``FINER`` times agrees on over 40 bits; it is cut
-   into tiles, and every pair of tiles is a task of its own: exact, with bounded
-   memory at any size.
+   most ``MAX_BITS`` of those if they link, so the same holds again. That is
+   done, up to ``FINER`` times, where it leaves fewer pairs to look at. A block
+   of near copies, which agree on most bits, stays; it is cut into tiles, and
+   every pair of tiles is a task of its own: exact, with bounded memory at any
+   size, and nearly all its pairs are links.
 3. The pivot table holds the Hamming distances of every fingerprint to
    ``N_PIVOTS`` reference fingerprints. It is computed once and travels with
    them. By the triangle inequality a pair with a coordinate difference over the
@@ -136,6 +137,14 @@ class Forest:
             i = up[i]
         return i
 
+    def flat(self) -> np.ndarray:
+        """The root of every place."""
+        up = np.array(self.up)
+        while (up[up] != up).any():
+            up = up[up]
+        self.up = up.tolist()
+        return up
+
     def join(self, a: int, b: int) -> bool:
         a, b = self.root(a), self.root(b)
         if a == b:
@@ -157,7 +166,7 @@ def linked_pairs(
     order = np.argsort(tr[0], kind="stable")
     sorted_first, tr_sorted, right_sorted = tr[0][order], tr[:, order], right[order]
     by_first = np.argsort(tl[0], kind="stable")
-    step = max(1, (1 << 21) // max(1, len(right)))
+    step = max(1, (1 << 18) // max(1, len(right)))
     for at in range(0, len(left), step):
         rows = by_first[at : at + step]
         lo = np.searchsorted(sorted_first, tl[0][rows[0]] - limit, "left")
@@ -190,7 +199,11 @@ def forest_edges(
     both = left if right is None else np.concatenate([left, right])
     uf, out, shift = Forest(len(both)), [], 0 if right is None else len(left)
     for i, j in linked_pairs(left, tl, right, tr, limit):
-        for a, b in zip(i.tolist(), (j + shift).tolist(), strict=True):
+        # in a dense block nearly all pairs are of places that are joined already
+        j = j + shift
+        up = uf.flat()
+        new = up[i] != up[j]
+        for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
             if uf.join(a, b):
                 out.append((a, b))
     return [(int(both[a]), int(both[b])) for a, b in out]
@@ -252,27 +265,34 @@ def links(fps: DataFrame, n: int, limit: int = MAX_BITS, tile: int = TILE, times
     masks = block_plan(n, limit)
     entries = _entries(fps, F.array(*[F.lit(_signed(m)) for m in masks]))
     total = n * len(masks)
-    tiled = None
+    tiled = []
     for k in range(times + 1):
         # blocks over a tile are few: each holds over `tile` of the entries
         counts = entries.groupBy("mask", "key").agg(F.count("*").alias("m")).where(F.col("m") > tile)
         big = materialise(counts, "simhash-big")
         if big.isEmpty():
             break
-        large, entries = _split(entries, big, total)
+        large, rest = _split(entries, big, total)
         if k == times:
-            tiled = large
+            tiled.append(large)
+            entries = rest
             break
-        masks = sorted({m for old in masks for m in finer(old, limit)} | set(masks))
         to = fps.sparkSession.createDataFrame([(_signed(m), [_signed(x) for x in finer(m, limit)]) for m in masks], "mask long, more array<long>")
-        again = large.join(F.broadcast(to), "mask").select("fp", "pd", "more")
+        under = large.join(F.broadcast(to), "mask").withColumn("sub", F.explode("more"))
+        size = under.groupBy("mask", "key", "m", "sub", F.col("fp").bitwiseAND(F.col("sub"))).agg(F.count("*").alias("c"))
+        pairs = size.groupBy("mask", "key", "m").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+        judged = materialise(pairs.select("mask", "key", "m", (2 * F.col("pairs") < F.col("m") * F.col("m")).alias("splits")), "simhash-judged")
+        large, entries = _split(entries, judged, total)
+        tiled.append(large.where("not splits"))
+        again = large.where("splits").join(F.broadcast(to), "mask").select("fp", "pd", "more")
         entries = entries.unionByName(_entries(again, F.col("more")))
+        masks = sorted({m for old in masks for m in finer(old, limit)} | set(masks))
     none = F.lit(0)
     cell = entries.select("mask", "key", none.alias("lo"), none.alias("hi"), none.alias("mine"), "fp", "pd")
-    if tiled is not None:
+    for large in tiled:
         groups = F.expr(f"cast(ceil(m / {tile}) as int)")
         mine = F.pmod(F.xxhash64("fp"), groups).cast("int")
-        spread = tiled.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1)))
+        spread = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1)))
         cell = cell.unionByName(
             spread.select("mask", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "fp", "pd")
         )

@@ -111,6 +111,19 @@ def test_components_match_brute_force_with_small_and_tiled_blocks(spark):
         assert len(set(seen.values())) == len(set(roots))
 
 
+def test_a_dense_block_stays_and_its_pairs_are_joined_once(spark):
+    rnd = random.Random(9)
+    ball = {0x0F0F0F0F0F0F0F0F ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(4))) for _ in range(700)}
+    spread = {0x5555 | rnd.getrandbits(48) << 16 for _ in range(300)}
+    fps = sorted(ball | spread)
+    roots = brute_roots(fps)
+    comp, signed = _components(spark, fps, tile=40, times=2)
+    seen = {}
+    for r, x in zip(roots, [comp.get(s, s) for s in signed], strict=True):
+        assert seen.setdefault(r, x) == x
+    assert len(set(seen.values())) == len(set(roots))
+
+
 def test_one_task_and_stars_find_the_same_components(spark):
     rnd = random.Random(8)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
