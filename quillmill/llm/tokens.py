@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept by a worker: about 250 bytes each.
-KEPT = 500_000
+#: Pieces kept by a worker, about 130 bytes each: half of them new, half of them from before the new ones.
+KEPT = 800_000
 #: Bytes of text that are encoded at once.
 BULK = 2 << 20
 #: Whether an array of unsigned integers has the layout that ids are kept in.
@@ -85,7 +85,9 @@ class PieceEncoder:
         self.signs: dict[str, bytes] = {"": b""}
         self.line = self.whole(["\n"])[0]
         self.first: dict[bytes, bytes | None] = {}
-        self.rest: dict[bytes, bytes | None] = {} if spaced else self.first
+        self.rest: dict[bytes, bytes | None] = {}
+        #: What was kept before ``first`` and ``rest`` were begun anew; what is met again moves over.
+        self.before: tuple[dict[bytes, bytes | None], dict[bytes, bytes | None]] = ({}, {})
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [_bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -125,7 +127,7 @@ class PieceEncoder:
             a, x, b, y = m.groups()
             ids = (kept.get(a.encode()) or self._word(a, lead)) + self._run(x)
             if b:
-                ids += self.line + (self.first.get(b.encode()) or self._word(b, "")) + self._run(y)
+                ids += self.line + ((self.first if self.spaced else kept).get(b.encode()) or self._word(b, "")) + self._run(y)
             kept[p] = ids
         kept.update((p, None) for p, _ in rest)
         if self.spaced:
@@ -134,12 +136,17 @@ class PieceEncoder:
         found = self.whole([(" " if lead else "") + t for _, t in rest])
         kept.update(zip([p for p, _ in rest], found, strict=True))
 
-    def _ids(self, kept: dict[bytes, bytes | None], pieces: pa.Array, lead: str) -> tuple[memoryview, np.ndarray, np.ndarray]:
+    def _ids(self, kept: dict[bytes, bytes | None], before: dict[bytes, bytes | None], pieces: pa.Array, lead: str) -> tuple[memoryview, np.ndarray, np.ndarray]:
         """The ids of pieces end to end, where each begins and the last ends, and how many up to each weren't sure."""
         coded = pieces.dictionary_encode()
         names = coded.dictionary.to_pylist()
         values = list(map(kept.get, names, repeat(NEW)))
         new = [i for i, v in enumerate(values) if v is NEW]
+        if before:
+            for i in new:
+                if (v := before.get(names[i], NEW)) is not NEW:
+                    kept[names[i]] = values[i] = v
+            new = [i for i in new if values[i] is NEW]
         self._learn(kept, [names[i] for i in new], lead)
         for i in new:
             values[i] = kept[names[i]]
@@ -151,10 +158,9 @@ class PieceEncoder:
         return memoryview(raw) if raw is not None else memoryview(b""), at, np.concatenate([[0], np.cumsum(unsure)])
 
     def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
-        if len(self.rest) + self.spaced * len(self.first) > self.kept:
-            self.first.clear()
-            self.rest.clear()
-            self.signs = {"": b""}
+        if len(self.rest) + len(self.first) > self.kept // 2:
+            self.before = (self.first, self.rest)
+            self.first, self.rest, self.signs = {}, {}, {"": b""}
         own = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()), b"")
         if not len(own):
             return []
@@ -172,11 +178,11 @@ class PieceEncoder:
         flat, ends = lists.flatten().view(pa.binary()), lists.offsets.to_numpy()
         ends = ends - ends[0]
         if self.spaced:
-            head, head_at, head_unsure = self._ids(self.first, flat.take(pa.array(ends[:-1])), "")
+            head, head_at, head_unsure = self._ids(self.first, self.before[0], flat.take(pa.array(ends[:-1])), "")
             inner = np.ones(len(flat), bool)
             inner[ends[:-1]] = False
             flat, ends = flat.filter(pa.array(inner)), ends - np.arange(len(ends))
-        data, at, unsure = self._ids(self.rest, flat, self.lead)
+        data, at, unsure = self._ids(self.rest, self.before[1], flat, self.lead)
         unsure = unsure[ends[1:]] > unsure[ends[:-1]]
         cut = at[ends].tolist()
         out = [data[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
