@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 #: Pieces kept by a worker, about 130 bytes each: half of them new, half of them from before the new ones.
 KEPT = 800_000
 #: Bytes of text that are encoded at once beside a writer of files, which needs memory too.
-BULK = 2 << 20
+BULK = 3 << 20
 #: Whether an array of unsigned integers has the layout that ids are kept in.
 NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
 #: Stands for the ids of a piece that isn't kept.
