@@ -18,17 +18,25 @@ NEGATE = -0.74
 
 # Words that strengthen or weaken, that negate, and idioms with a valence of their own.
 STRENGTHEN = frozenset(
-    "absolutely amazingly awfully completely considerably decidedly deeply effing enormously entirely especially exceptionally "
-    "extremely fabulously flippin fricking friggin fully greatly hella highly hugely incredibly intensely majorly more most "
-    "particularly purely quite really remarkably so substantially thoroughly totally tremendously uber unbelievably unusually "
+    "absolutely amazingly awfully completely considerable considerably decidedly deeply effing enormous enormously entirely especially "
+    "exceptional exceptionally extreme extremely fabulously flipping flippin frackin fracking fricking frickin frigging friggin fully "
+    "fuckin fucking fuggin fugging greatly hella highly hugely incredible incredibly intensely major majorly more most particularly "
+    "purely quite really remarkably so substantially thoroughly total totally tremendous tremendously uber unbelievably unusually utter "
     "utterly very".split()
 )
-WEAKEN = frozenset("almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split())
+WEAKEN = frozenset(
+    "almost barely hardly kinda kindof kind-of less little marginal marginally occasional occasionally partly scarce scarcely slight "
+    "slightly somewhat sorta sortof sort-of".split()
+)
+WEAKEN_PHRASES = frozenset({"just enough", "kind of", "sort of"})
 NEGATIONS = frozenset(
     "aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt neither neednt never none nope "
     "nor not nothing nowhere oughtnt rarely seldom shant shouldnt uhuh wasnt werent without wont wouldnt despite".split()
 )
-IDIOMS = {"the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "yeah right": -2.0, "kiss of death": -1.5, "to die for": 3.0}
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2.0, "kiss of death": -1.5,
+    "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9,
+}
 
 # A small lexicon of our own, on the scale from -4 to 4; a full one is read from a file.
 LEXICON = {
@@ -108,8 +116,13 @@ class Scorer:
             for start in range(max(0, i - size), i + 1):
                 text = " ".join(low[start : start + size])
                 if text in IDIOMS and start + size <= len(low):
-                    return IDIOMS[text]
-        return value
+                    return Scorer._weakened(low, i, IDIOMS[text])
+        return Scorer._weakened(low, i, value)
+
+    @staticmethod
+    def _weakened(low: list[str], i: int, value: float) -> float:
+        """Less BOOST for each phrase that weakens, right before the word or one word further."""
+        return value - BOOST * sum(" ".join(low[i - k : i - k + 2]) in WEAKEN_PHRASES for k in (3, 2))
 
 
 def summary(values: list[float]) -> dict[str, float]:

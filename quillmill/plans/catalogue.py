@@ -13,6 +13,7 @@ from quillmill.functions import text as T
 from quillmill.functions import urls as U
 from quillmill.operators import corpus as C
 from quillmill.operators import crawl as K
+from quillmill.operators import extraction as X
 from quillmill.operators import query as Q
 from quillmill.operators import records as P
 from quillmill.operators import relational as R
@@ -884,6 +885,18 @@ def prj15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.counters(u, "$n", 1, 9, 2, alias="$m", alias_add=-1)
 
 
+@query("prj9_page_loop", "SELECT id, CAST(p AS VARCHAR) AS page, '/' || n || '/' || p AS page_url FROM (SELECT page_id AS id, regexp_extract(url, '/([0-9]+)', 1) AS n, unnest(generate_series(1, CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) % 3 + 1)) AS p FROM pages)")
+def prj9_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that each document stands for, as many as the first of them says."""
+    number = F.regexp_extract("url", "/([0-9]+)/", 1).cast("long") % 3 + 1
+    fetch = lambda urls: urls.select("url", F.lit(200).alias("response"), F.concat(F.lit("pages: "), number).alias("content"))
+    plan = X.Pages(
+        "/$n/$page", variables=[X.Variable("n", P.Value(Q.Query("regex", "(?<=/)[0-9]+"), P.URL))],
+        paging=X.Paging(first=1, number=Q.Query("regex", "(?<=pages: )[0-9]+")), retries=0,
+    )
+    return X.gather(I.pages(spark, sf_dir), plan, fetch).select("id", "page", "page_url")
+
+
 @query("prj16_links", "SELECT url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS link FROM pages")
 def prj16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.links(I.pages(spark, sf_dir))

@@ -11,6 +11,8 @@ from typing import Any
 
 from quillmill.functions.dates import RESOLUTIONS
 from quillmill.functions.text import first_or_escape
+from quillmill.operators import crawl as K
+from quillmill.operators import extraction as X
 from quillmill.operators import query as Q
 from quillmill.operators import records as P
 from quillmill.sources.tables import KINDS, Source
@@ -91,6 +93,58 @@ def token_pattern(q: Q.Query) -> str:
     return q.text
 
 
+def extractor_config(text: str, registry: dict[int, Q.Query]) -> tuple[X.Pages, P.ExtractorConfig, P.ExtractorConfig | None]:
+    """An extractor's configuration: its pages, its records, and those that they link to if any."""
+    o = options(text)
+    cat, general, names = o.get("extracting", {}), o.get("general", {}), o.get("variables", {})
+    page, source, link = o.get("paging", {}), o.get("source", {}), o.get("linked", {})
+    of = lambda c, n: registry.get(c.get(n) or 0)
+    every = lambda c, n: [registry[q] for q in c.get(n) or [] if q in registry]
+    where = lambda s: P.URL if s == 2 else P.CONTENT
+    variables = [
+        X.Variable(v["base"], P.Value(registry[v["query"]], where(v["source"])), v["alias"], int(v["alias_add"]), registry.get(v["skip_query"] or 0))
+        for v in padded(names, "name", query=0, source=1, alias="", alias_add=0, skip_query=0)
+        if v["base"] and v["query"] in registry
+    ]
+    tokens = [
+        X.Token(t["base"], t["tokens_source"], registry[t["tokens_query"]])
+        for t in padded(names, "tokens", tokens_source="", tokens_query=0)
+        if t["base"] and t["tokens_query"] in registry
+    ]
+    paging = X.Paging(
+        page.get("variable") or "page", int(page.get("first") or 0), page.get("first.string") or "", int(page.get("step") or 1), of(page, "number.from"),
+        of(page, "is.next.from"), of(page, "next.from"), page.get("alias") or "", int(page.get("alias.add") or 0),
+    )
+    pages = X.Pages(
+        source.get("url") or "", source.get("url.first") or "", variables, tokens, paging, every(cat, "error.retry"), every(cat, "error.fail"),
+        int(general.get("retries") or 0), tuple(general.get("retry.http") or K.RETRY_CODES),
+    )
+
+    def records(c: dict[str, Any], prefix: str = "field.") -> P.ExtractorConfig:
+        fields = [
+            P.Field(f["field.names"], P.Value(registry[f["field.queries"]]), first_or_escape(f[f"{prefix}delimiters"]), bool(f[f"{prefix}ignore.empty"]), bool(f[f"{prefix}json"]), bool(f[f"{prefix}tidy.texts"]))
+            for f in _rows(c, {"field.names": "", "field.queries": 0, f"{prefix}delimiters": "\n", f"{prefix}ignore.empty": True, f"{prefix}json": False, f"{prefix}tidy.texts": False})
+            if f["field.names"] and f["field.queries"] in registry
+        ]
+        times = [
+            P.Time(P.Value(registry[t["datetime.queries"]]), t["datetime.formats"] or "%F %T", t["datetime.locales"] or None)
+            for t in _rows(c, {"datetime.queries": 0, "datetime.formats": "%F %T", "datetime.locales": ""})
+            if t["datetime.queries"] in registry
+        ]
+        return P.ExtractorConfig(
+            every(c, "dataset.queries"), [P.Value(q) for q in every(c, "id.queries")], fields, times, c.get("id.ignore") or [], bool(c.get("remove.duplicates", False))
+        )
+
+    return pages, records(cat), records(link, "") if link.get("dataset.queries") else None
+
+
+def _rows(cat: dict[str, Any], names: dict[str, Any]) -> list[dict[str, Any]]:
+    """Parallel list options as dicts, as many as the first has; missing values get defaults."""
+    n = len(cat.get(next(iter(names))) or [])
+    cols = {k: [*(cat.get(k) or []), *[v] * n][:n] for k, v in names.items()}
+    return [{k: c[i] for k, c in cols.items()} for i in range(n)]
+
+
 def parser_config(text: str, registry: dict[int, Q.Query]) -> P.ParserConfig:
     """A parser's configuration; sources 0 and 1 are the URL and the content."""
     o = options(text)
