@@ -47,15 +47,20 @@ def cut(n: int, capacity: int) -> list[int]:
     return ([first] if first else []) + [capacity] * (n // capacity)
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
-    """One row per piece, with its ids as little-endian unsigned integers of 16 bits, or 32 if the vocabulary needs them."""
+def pieces(
+    docs: DataFrame, tokenizer: str, end_id: int, spaced: bool, capacity: int = CAPACITY, text: str = "text", bulk: int = 4 << 20
+) -> DataFrame:
+    """One row per piece, with its ids as little-endian unsigned integers of 16 bits, or 32 if the vocabulary needs them.
+
+    ``bulk`` bytes of text are encoded at once; fewer take less memory and more time.
+    """
     small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer, spaced), np.array([end_id], "<u4").tobytes()
         wide = enc.width if end_id < 1 << 16 else 4
-        for b in in_bulk(batches, 1):
+        for b in in_bulk(batches, 1, bulk):
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 own, at = np.frombuffer(ids + end, "<u4"), 0

@@ -71,6 +71,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 token ids, one row each, with the documents that are in them.
 
-    A null or empty text is its end id alone.
+    A null or empty text is its end id alone. Small bulks, as the stages before
+    have filled the executors' heaps.
     """
-    return packing.pack(packing.pieces(docs, "byte_bpe_50k.json", end_id=0, spaced=True), packing.groups_of(docs))
+    parts = packing.pieces(docs, "byte_bpe_50k.json", end_id=0, spaced=True, bulk=1 << 20)
+    return packing.pack(parts, packing.groups_of(docs))
