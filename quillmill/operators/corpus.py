@@ -10,6 +10,7 @@ pass without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from functools import reduce
 
 import pandas as pd
@@ -82,7 +83,7 @@ def filter_articles(arts: DataFrame, patterns: list[str], all_of: bool = False)
 
 def filter_tokens_by_queries(toks: DataFrame, queries: list[Query], all_of: bool = False) -> DataFrame:
     """The same with queries of any type, on a token table."""
-    named = {f"_f{i}": Query(q.type, q.text, "bool", q.text_only) for i, q in enumerate(queries)}
+    named = {f"_f{i}": replace(q, kind="bool") for i, q in enumerate(queries)}
     marks = evaluate(toks.select("token").distinct(), "token", named)
     hit = toks.select(*KEY, "token").join(marks, "token").groupBy(*KEY).agg(*[F.max(n).alias(n) for n in named])
     cond = None
@@ -106,7 +107,7 @@ def filter_by_queries(arts: DataFrame, queries: list[Query], all_of: bool = Fals
         return filter_articles(arts, [q.text for q in queries], all_of)
     rows = checkpoint(tokenized(arts).withColumn("_row", F.monotonically_increasing_id()))
     toks = rows.select("_row", F.explode(F.array_distinct(F.flatten("sentences"))).alias("token"))
-    named = {f"_f{i}": Query(q.type, q.text, "bool", q.text_only) for i, q in enumerate(queries)}
+    named = {f"_f{i}": replace(q, kind="bool") for i, q in enumerate(queries)}
     marks = evaluate(toks.select("token").distinct(), "token", named)
     hit = toks.join(marks, "token").groupBy("_row").agg(*[F.max(n).alias(n) for n in named])
     cond = reduce((lambda a, b: a & b) if all_of else (lambda a, b: a | b), [F.col(n) for n in named])

@@ -9,7 +9,7 @@ documents; the loop runs over rounds, not over rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -91,7 +91,7 @@ class Expected:
 
 
 def _single(q: Query) -> Query:
-    return Query(q.type, q.text, "single", q.text_only)
+    return replace(q, kind="single")
 
 
 def _variables(df: DataFrame, plan: Pages, content: str) -> tuple[DataFrame, dict[str, str]]:
@@ -156,7 +156,7 @@ def gather(df: DataFrame, plan: Pages, fetch: Fetch, content: str = "content") -
         live = checkpoint(live.withColumn("page_url", address(plan.url_first if k == 0 and plan.url_first else plan.url)))
         got = fetched(live.select(F.col("page_url").alias("url")), fetch, plan).withColumnRenamed("url", "page_url")
         asks = {n: _single(q) for n, q in (("_number", p.number), ("_next", p.next)) if q is not None}
-        asks |= {"_is": Query(p.is_next.type, p.is_next.text, "bool", p.is_next.text_only)} if p.is_next is not None else {}
+        asks |= {"_is": replace(p.is_next, kind="bool")} if p.is_next is not None else {}
         here = checkpoint(evaluate(live.join(got, "page_url"), "content", asks) if asks else live.join(got, "page_url"))
         out.append(here.select("id", "page", "page_url", "content"))
         if not asks:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import pandas as pd
@@ -30,13 +30,15 @@ class Query:
     """A query of a type, with its kind of result.
 
     Combined types hold the XPath on the first line and the JSON query on the
-    second; their XPath half is always text only.
+    second; their XPath half is always text only. With ``closed_refs`` a
+    character reference in markup needs its semicolon, else it is text.
     """
 
     type: str
     text: str
     kind: str = "single"
     text_only: bool = False
+    closed_refs: bool = False
 
     def __post_init__(self) -> None:
         if self.type not in TYPES or self.kind not in KINDS:
@@ -77,7 +79,7 @@ class Document:
     """A text with the parses that queries have asked for."""
 
     def __init__(self, text: str | None) -> None:
-        self.text, self._json, self._tree, self._have = text or "", None, None, set()
+        self.text, self._json, self._trees, self._have = text or "", None, {}, set()
 
     @property
     def json(self) -> Any:
@@ -86,12 +88,10 @@ class Document:
             self._have.add("json")
         return self._json
 
-    @property
-    def tree(self) -> M.Node | None:
-        if "tree" not in self._have:
-            self._tree = M.parse(self.text)
-            self._have.add("tree")
-        return self._tree
+    def tree(self, closed_refs: bool = False) -> M.Node | None:
+        if closed_refs not in self._trees:
+            self._trees[closed_refs] = M.parse(self.text, closed_refs=closed_refs)
+        return self._trees[closed_refs]
 
 
 class Evaluator:
@@ -119,9 +119,9 @@ class Evaluator:
             return {"bool": lambda: any(True for _ in found), "single": lambda: next(found, "")}.get(kind, lambda: list(found))()
         if q.type == "xpath":
             if kind in ("bool", "subsets"):
-                return (M.xpath_bool if kind == "bool" else M.xpath_subsets)(doc.tree, self.xpath)
-            return (M.xpath_first if kind == "single" else M.xpath_all)(doc.tree, self.xpath, q.text_only)
-        value = doc.json if not q.type.startswith("xpath") else J.parse(M.xpath_first(doc.tree, self.xpath, True))
+                return (M.xpath_bool if kind == "bool" else M.xpath_subsets)(doc.tree(q.closed_refs), self.xpath)
+            return (M.xpath_first if kind == "single" else M.xpath_all)(doc.tree(q.closed_refs), self.xpath, q.text_only)
+        value = doc.json if not q.type.startswith("xpath") else J.parse(M.xpath_first(doc.tree(q.closed_refs), self.xpath, True))
         name = "pointer" if q.type.endswith("pointer") else "path"
         run = getattr(J, f"{name}_{ {'single': 'first', 'multi': 'all'}.get(kind, kind)}")
         return run(value, self.path) if kind in ("bool", "subsets") else run(value, self.path, q.text_only)
@@ -165,7 +165,7 @@ def _udf(items: tuple[tuple[str, Query], ...], types: str):
 
 def subsets(df: DataFrame, column: str, q: Query, out: str = "subset") -> DataFrame:
     """One row for each sub-document that a query finds."""
-    q = Query(q.type, q.text, "subsets", q.text_only)
+    q = replace(q, kind="subsets")
     return evaluate(df, column, {"_s": q}).withColumn(out, F.explode("_s")).drop("_s")
 
 
@@ -181,8 +181,8 @@ def nested_subsets(df: DataFrame, column: str, first: Query, again: Query, depth
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = Evaluator(Query(first.type, first.text, "subsets"))
-        inner = Evaluator(Query(again.type, again.text, "subsets"))
+        top = Evaluator(replace(first, kind="subsets"))
+        inner = Evaluator(replace(again, kind="subsets"))
         for b in batches:
             at = b.schema.get_field_index(column)
             lists = [[x for s in top(Document(t)) for x in walk(s, 1, inner)] for t in b.column(at).to_pylist()]
@@ -198,14 +198,14 @@ def test_query(q: Query, text: str) -> dict[str, Any]:
     doc = Document(text)
     for kind in KINDS:
         began = time.perf_counter()
-        out[kind] = Evaluator(Query(q.type, q.text, kind, q.text_only))(doc)
+        out[kind] = Evaluator(replace(q, kind=kind))(doc)
         out[f"{kind}_ms"] = (time.perf_counter() - began) * 1000
     return out
 
 
 def any_of(df: DataFrame, column: str, queries: list[Query], out: str) -> DataFrame:
     """Whether any of the queries holds."""
-    named = {f"_a{i}": Query(q.type, q.text, "bool", q.text_only) for i, q in enumerate(queries)}
+    named = {f"_a{i}": replace(q, kind="bool") for i, q in enumerate(queries)}
     if not named:
         return df.withColumn(out, F.lit(False))
     made = evaluate(df, column, named)

@@ -7,7 +7,7 @@ sub-documents first and builds a record from each.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,7 +163,7 @@ class ExtractorConfig:
 
 def datasets(df: DataFrame, content: str, queries: list[Query]) -> DataFrame:
     """Sub-documents by the first query that finds any."""
-    named = {f"_d{i}": Query(q.type, q.text, "subsets", q.text_only) for i, q in enumerate(queries)}
+    named = {f"_d{i}": replace(q, kind="subsets") for i, q in enumerate(queries)}
     made = evaluate(df, content, named)
     pick = F.coalesce(*[F.when(F.size(n) > 0, F.col(n)) for n in named])
     return made.withColumn("subset_ix", F.lit(0)).select(*df.columns, F.posexplode(pick).alias("subset_ix", "subset"))

@@ -122,6 +122,15 @@ def test_xpath_results():
         M.XPath("//p[")
 
 
+def test_references_without_semicolon():
+    page = "<title>a&amp;&amp</title><p title='x&lt;&lt y&amp=z'>1 &#x27;&#x27 &#39;&#3 &ampx; &am & &quot;</p><!-- &amp --><script>a&&b &amp;</script>"
+    first = lambda path, **kw: M.xpath_first(M.parse(page, **kw), M.XPath(path), text_only=True)
+    assert first("//title") == "a&&" and first("//title", closed_refs=True) == "a&&amp"
+    assert first("//p", closed_refs=True) == "1 '&#x27 '&#3 &ampx; &am & \"" and first("//p/@title", closed_refs=True) == "x<&lt y&amp=z"
+    assert first("//script", closed_refs=True) == first("//script") == "a&&b &amp;"
+    assert "<!-- &amp -->" in M.parse(page, closed_refs=True).inner()
+
+
 def test_urls(spark):
     assert U.resolve_link("../x y#f", "http://Ex.com/a/b/c") == "http://ex.com/a/x%20y"
     assert U.resolve_link("//h.org", "https://a.b/") == "https://h.org/" and U.resolve_link("mailto:a@b", "http://x/") == "" and U.resolve_link(" #a", "http://x/") == ""
