@@ -61,8 +61,12 @@ PROBES = 5
 BASE = 1.5
 #: Prior strengths to choose from.
 PRIORS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1e3, 3e3, 1e4, 1e5, 1e6)
-#: Words that a worker remembers.
+#: Distinct words that a worker counts before it passes them on.
 KEPT = 300_000
+#: log2 of the n-grams whose levels a task remembers, by their order; eight bytes each.
+SEEN_BITS = {1: 17, 2: 20}
+#: The share of n-grams, still found, below which a lookup drops the others.
+DENSE = 0.75
 #: N-grams that a worker sums before it passes them on.
 CHUNK = 1 << 21
 SEGMENT_BYTES = 16 << 20
@@ -75,7 +79,6 @@ ASKING = 1 << 19
 PART_BITS = 2
 END = b""
 _U = np.uint64
-_LOW = _U((1 << 32) - 1)
 #: What a segment keeps of a key: six bytes.
 _KEPT_BITS = _U((1 << 48) - 1)
 
@@ -120,13 +123,18 @@ def sequence(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     words = np.ones(len(out), bool)
     words[0] = words[ends] = False
     out[words] = coded.indices.to_numpy().astype(np.int64) + 1
-    return out, [END, *coded.dictionary.to_pylist()], ends
+    return out, [END, *_listed(coded.dictionary)], ends
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    """The words as Python's; ten times as fast as ``to_pylist``."""
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 def _probe(keys: np.ndarray, lvl: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and step, modulo 2^32, of the probes for (n-gram, level)."""
+    """Start and step of the probes for (n-gram, level), modulo 2^32 as their type is."""
     g = mix(keys + _U(0xA0761D6478BD642F * lvl % (1 << 64)))
-    return g & _LOW, (g >> _U(32)) | _U(1)
+    return g.astype(np.uint32), (g >> _U(32)).astype(np.uint32) | np.uint32(1)
 
 
 @dataclass
@@ -141,23 +149,29 @@ class Filter:
     first: int = 0  # number of the first segment
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, 0 if it is not in the filter."""
+        """The level of each n-gram, 0 if it is not in the filter; fastest if they are sorted, as they meet a segment together."""
         out = np.zeros(len(keys), np.int64)
-        alive, lvl = np.arange(len(keys)), 0
-        while len(alive) and lvl < self.top:
-            lvl += 1
-            k = keys[alive]
-            seg = (k >> _U(self.shift)).astype(np.int64) - self.first
-            start, bits = self.start[seg], self.bits[seg]
-            a, d = _probe(k & _KEPT_BITS, lvl)
-            for _ in range(PROBES):
-                at = start + ((a * bits) >> _U(32))
-                hit = np.flatnonzero((self.data.take((at >> _U(3)).view(np.int64)) >> (at & _U(7)).astype(np.uint8)) & np.uint8(1))
-                if len(hit) < len(alive):
-                    alive, a, d, start, bits = (x.take(hit) for x in (alive, a, d, start, bits))
-                    if not len(alive):
-                        break
-                a = (a + d) & _LOW
+        seg = (keys >> _U(self.shift)).astype(np.int64) - self.first
+        alive, low, start, bits = np.arange(len(keys)), keys & _KEPT_BITS, self.start[seg], self.bits[seg]
+        for lvl in range(1, self.top + 1):
+            a, d = _probe(low, lvl)
+            found = np.ones(len(alive), np.uint8)
+            for i in range(1, PROBES + 1):
+                at = a * bits
+                at >>= _U(32)
+                at += start
+                bit = at.astype(np.uint8) & np.uint8(7)
+                at >>= _U(3)
+                found &= self.data.take(at.view(np.int64)) >> bit
+                left = np.count_nonzero(found)
+                # those not found go once they are many
+                if left < len(found) * (1 if i == PROBES else DENSE):
+                    hit = np.flatnonzero(found)
+                    alive, low, start, bits, a, d = (x.take(hit) for x in (alive, low, start, bits, a, d))
+                    found = np.ones(left, np.uint8)
+                a += d
+            if not len(alive):
+                break
             out[alive] = lvl
         return out
 
@@ -200,7 +214,7 @@ def build_segment(keys: np.ndarray, levels: np.ndarray, most_bytes: int | None)
         a, d = _probe(keys[levels >= lvl], lvl)
         for _ in range(PROBES):
             data[((a * bits) >> _U(32)).astype(np.int64)] = True
-            a = (a + d) & _LOW
+            a += d
     return np.packbits(data, bitorder="little")
 
 
@@ -318,7 +332,7 @@ def _unigram_parts(vocab: DataFrame, shift: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = unigram_key(word_hash(b.column(0).to_pylist()))
+                keys = unigram_key(word_hash(_listed(b.column(0))))
                 order = np.argsort(keys)
                 yield _segments_of(keys[order], b.column(1).to_numpy()[order], 1, shift)
 
@@ -479,64 +493,70 @@ def _codes(l1: pa.Array, l2: pa.Array, size: int) -> np.ndarray:
     return (np.roll(one, 1) * size + one) * size + two
 
 
+class Seen:
+    """Levels of n-grams as the filter gave them; each n-gram has one place, where the last one asked stays.
+
+    A place holds the bits of the n-gram that do not tell its place, and the level below them.
+    """
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.mask = _U(bits), _U((1 << bits) - 1)
+        self.held = np.full(1 << bits, ~_U(0))  # no n-gram: what remains of one has 64 - bits bits, fewer than 56
+
+    def levels(self, keys: np.ndarray, source: Filter | Answers) -> np.ndarray:
+        got = self.held.take((keys & self.mask).view(np.int64))
+        out = (got & _U(255)).astype(np.uint8)
+        new = np.flatnonzero((got >> _U(8)) != (keys >> self.bits))
+        own, at = np.unique(keys[new], return_inverse=True)
+        lvl = source.levels(own)
+        self.held[(own & self.mask).view(np.int64)] = ((own >> self.bits) << _U(8)) | lvl.astype(np.uint64)
+        out[new] = lvl.astype(np.uint8)[at]
+        return out
+
+
 class Scorer:
-    """Scores texts with a model; remembers what it found out about words."""
+    """Looks texts up in a model's filter; remembers what it said about n-grams."""
 
     def __init__(self, model: Model) -> None:
         self.m = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-        self.hash = np.zeros(0, np.uint64)
-        self.l1 = np.zeros(0, np.int64)  # level, 0 if not in the filter
-        self.exact = np.zeros(0, np.int64)  # count of a head word, else -1
-
-    def learn(self, words: list[bytes]) -> np.ndarray:
-        """The numbers of distinct words."""
-        if len(self.known) > KEPT:
-            self.clear()
-        new = list(set(words).difference(self.known))
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.words += new
-            h = word_hash(new)
-            lvl = self.m.filter.levels(unigram_key(h))
-            exact = np.fromiter(map(self.m.head.get, new, repeat(-1)), np.int64, len(new))
-            for i in np.flatnonzero(np.fromiter(map(len, new), np.int64, len(new)) > HEAD_WORD).tolist():
-                exact[i] = self.m.long.get(hashlib.md5(new[i]).digest(), -1)
-            self.hash = np.concatenate([self.hash, h])
-            self.l1 = np.concatenate([self.l1, lvl])
-            self.exact = np.concatenate([self.exact, exact])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-    def bigrams(self, at: np.ndarray) -> np.ndarray:
-        """Levels of a sequence's bigrams, 0 if one of their words is not in the filter."""
-        h, l1 = self.hash[at], self.l1[at]
+        self.seen = {order: Seen(bits) for order, bits in SEEN_BITS.items()}
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, levels (0 if not in the filter) and exact counts (-1 if not of the head) of distinct words."""
+        h = word_hash(words)
+        exact = np.fromiter(map(self.m.head.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) > HEAD_WORD).tolist():
+            exact[i] = self.m.long.get(hashlib.md5(words[i]).digest(), -1)
+        return h, self.seen[1].levels(unigram_key(h), self.m.filter), exact
+
+    def bigrams(self, h: np.ndarray, l1: np.ndarray) -> np.ndarray:
+        """Levels of the bigrams of a sequence of words, by their hashes and levels; 0 if one of the words is not in the filter."""
         both = np.flatnonzero((l1[:-1] > 0) & (l1[1:] > 0))
-        out = np.zeros(len(at) - 1, np.int64)
-        out[both] = self.m.filter.levels(bigram_key(h[:-1][both], h[1:][both]))
+        out = np.zeros(len(h) - 1, np.uint8)
+        out[both] = self.seen[2].levels(bigram_key(h[:-1][both], h[1:][both]), self.m.filter)
         return out
 
     def rows(self, b: pa.RecordBatch) -> pa.RecordBatch:
         """What the (row, doc_id, held_out, t) of a batch come to: ``LOOKED``."""
         seq, words, ends = sequence(b.column(3))
-        at = self.learn(words)[seq]
-        cut = np.concatenate([[1], ends + 1]).tolist()
-        l1, l2 = self.l1[at].astype(np.uint8), self.bigrams(at).astype(np.uint8)
-        exact = self.exact[at]
-        base = np.log10((np.maximum(exact, 0) + 1) / self.m.unit)
-        out: list[tuple] = []
-        for x, y in zip(cut[:-1], cut[1:], strict=True):
-            own = exact[x:y] >= 0
-            tail, times = np.unique(at[x:y][~own], return_counts=True)
-            words = [self.words[i] for i in tail.tolist()]
-            out.append((y - x, int(own.sum()), float(base[x:y][own].sum()), words, times.tolist(), l1[x:y].tobytes(), l2[x - 1 : y - 1].tobytes()))
-        cols = list(zip(*out, strict=True)) or [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        arrays = [*b.columns[:3], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]]
-        return pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "words", "times", "l1", "l2"])
+        h, l1, exact = self.words(words)
+        l1, exact = l1[seq], exact[seq[1:]]
+        l2 = self.bigrams(h[seq], l1)
+        cut = np.concatenate([[0], ends])
+        sizes = np.diff(cut)
+        own = exact >= 0
+        base = np.where(own, np.log10((np.maximum(exact, 0) + 1) / self.m.unit), 0.0)
+        # the other words of each text, by its number
+        text = np.repeat(np.arange(len(sizes)), sizes)[~own]
+        tail, times = np.unique(text * len(words) + seq[1:][~own], return_counts=True)
+        of = np.searchsorted(tail, np.arange(len(sizes) + 1) * len(words))
+        cols = [
+            pa.array(sizes), pa.array(np.add.reduceat(own, cut[:-1], dtype=np.int64)), pa.array(np.add.reduceat(base, cut[:-1])),
+            pa.ListArray.from_arrays(of.astype(np.int32), pa.array(words, pa.binary()).take(pa.array(tail % len(words)))),
+            pa.ListArray.from_arrays(of.astype(np.int32), pa.array(times)),
+            *[pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(x.tobytes())]) for x in (l1[1:], l2)],
+        ]
+        return pa.RecordBatch.from_arrays([*b.columns[:3], *cols], names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "words", "times", "l1", "l2"])
 
 
 def _mean(means: np.ndarray, lvl: np.ndarray) -> np.ndarray:
@@ -634,7 +654,6 @@ def _look_up_by_join(src: DataFrame, model: Model) -> DataFrame:
             for a, z in _runs(chunk * 2 + is_text):
                 if chunk[a] != now:
                     now, got = chunk[a], []
-                    s.clear()
                     s.m.filter = None
                 part = b.slice(a, z - a)
                 if not is_text[a]:  # a chunk's answers come before its texts

@@ -221,3 +221,44 @@ def test_counts_on_a_level_differ_by_half_at_most_and_false_positives_stay_rare(
     bits = lm.build_segment(keys[: 1 << 17], np.ones(1 << 17, np.int64), None)
     found = lm.join_segments([(0, bits.tobytes())], 1, 63, 1).levels(keys[1 << 17 :] >> np.uint64(1))
     assert (found > 0).mean() < 0.0225
+
+
+def test_the_filter_is_asked_once_for_each_ngram(spark, rows, monkeypatch):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, _ = run(df)
+    texts = [t.encode() for _, t in rows if t] * 4
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), pa.array(texts, pa.binary())], names=["row", "doc_id", "held_out", "t"]
+    )
+    asked, levels = [], lm.Filter.levels
+    monkeypatch.setattr(lm.Filter, "levels", lambda self, keys: asked.append(len(keys)) or levels(self, keys))
+    scorer = lm.Scorer(model)
+    got = scorer.rows(batch)
+    seqs = [[b"", *[(w or "").encode() for w in toks(t.decode())]] for t in texts]
+    distinct = len({w for s in seqs for w in s}) + len({p for s in seqs for p in zip(s, s[1:], strict=False)})
+    assert sum(asked) <= distinct
+    first = sum(asked)
+    assert scorer.rows(batch).equals(got) and sum(asked) - first < 0.2 * distinct
+    # what it said is what it says of each place; a bigram needs both its words
+    one = {w: int(levels(model.filter, lm.unigram_key(lm.word_hash([w])))[0]) for w in {w for s in seqs for w in s}}
+    assert got.column(8).to_pylist() == [bytes(one[w] for w in s[1:]) for s in seqs]
+    for s, two in zip(seqs, got.column(9).to_pylist(), strict=True):
+        h, known = lm.word_hash(s), np.array([one[w] > 0 for w in s])
+        assert two == (levels(model.filter, lm.bigram_key(h[:-1], h[1:])) * (known[:-1] & known[1:])).astype(np.uint8).tobytes()
+
+
+def test_remembered_levels_of_ngrams_that_share_a_place():
+    keys = np.unique(np.concatenate([lm.mix(np.arange(5000, dtype=np.uint64)), np.array([0, 1, 511, 512, 2**64 - 1], np.uint64)]))
+    level = {int(k): i % 109 for i, k in enumerate(keys)}
+
+    class Source:
+        def levels(self, asked):
+            assert len(np.unique(asked)) == len(asked)
+            return np.array([level[int(k)] for k in asked], np.int64)
+
+    rng, seen = np.random.default_rng(0), lm.Seen(9)
+    for n in (0, 1, 20, 3000, 3000):
+        some = rng.choice(keys, n)
+        assert seen.levels(some, Source()).tolist() == [level[int(k)] for k in some]
+    assert seen.levels(keys, Source()).tolist() == list(level.values())
